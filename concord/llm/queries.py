@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality_model, quality_rules, simhash, toxicity
+from . import ann, bpe, chat, licenses, packing, pii, quality_model, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality_model.score(documents, quality_model.train(documents, table(spark, sf_dir, "labels")))
@@ -36,6 +40,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     weight = quality_rules.weights(quality_rules.counted(documents, table(spark, sf_dir, "labels")))
@@ -51,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op5_quality": op5_quality, "op6_pii": op6_pii, "op8_quality_rules": op8_quality_rules, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_packing": op1_packing, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_ann": op7_ann, "op8_quality_rules": op8_quality_rules, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}

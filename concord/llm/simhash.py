@@ -175,3 +175,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """``documents``, same columns, with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Rows go by 128 bits of hash over all their columns. Of several rows with the group's smallest doc_id (or of rows without
+    one, if the group has no other) the one of the smallest hash stays. Before the last join, which carries texts, only
+    hashes and fingerprints are shuffled.
+    """
+    columns = [c for c in documents.columns if documents.schema[c].dataType.typeName() not in ("map", "variant")]
+    keys = [F.xxhash64(*columns).alias("sh_a"), F.xxhash64(F.lit("b"), *columns[::-1]).alias("sh_b")]
+    marked = fingerprints(documents.select(F.col("doc_id").cast("long").alias("sh_id"), *keys, "text"), keep=("sh_id", "sh_a", "sh_b"))
+    order = F.struct(F.col("sh_id").isNull().alias("no_id"), "sh_id", "sh_a", "sh_b")
+    nodes = cut(marked.groupBy("fp").agg(F.min(order).alias("first")))
+    found = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    first = nodes.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = documents.select("*", *keys).join(first.select("first.sh_a", "first.sh_b"), ["sh_a", "sh_b"], "left_semi")
+    return kept.dropDuplicates(["sh_a", "sh_b"]).select(*documents.columns)
