@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import text_queries
+
+PARTS = (text_queries,)
+FLAGSHIP = "t10_statements"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
