@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import gate_queries, text_queries
 
-PARTS = (text_queries,)
-FLAGSHIP = "t10_statements"
+PARTS = (text_queries, gate_queries)
+FLAGSHIP = "flagship_conflicts"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in PARTS:
