@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import claim_queries, gate_queries, graph_queries, report_queries, retrieval_queries, text_queries
+from . import claim_queries, gate_queries, graph_queries, numeric_queries, report_queries, retrieval_queries, text_queries
 
-PARTS = (text_queries, gate_queries, claim_queries, retrieval_queries, graph_queries, report_queries)
+PARTS = (text_queries, gate_queries, claim_queries, numeric_queries, retrieval_queries, graph_queries, numeric_queries, report_queries)
 FLAGSHIP = "flagship_conflicts"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
