@@ -75,9 +75,20 @@ def shared_concepts(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(tx.concept_tokens(a), tx.concept_tokens(b)))
 
 
-def _shared_words(ta: Column, tb: Column) -> Column:
-    own = lambda t: F.filter(F.array_except(t, F.lit(lx.NEGATIONS + lx.FUNCTION_WORDS)), lambda w: F.length(w) > 2)
-    return F.size(F.array_intersect(own(ta), own(tb)))
+#: All words of the antonym pairs that can be tokens or not; others of a statement don't matter there.
+ANTONYM_WORDS = sorted({w for pair in lx.ANTONYMS for w in pair})
+
+
+def _content(tokens: Column) -> Column:
+    return F.filter(F.array_except(tokens, F.lit(lx.NEGATIONS + lx.FUNCTION_WORDS)), lambda w: F.length(w) > 2)
+
+
+def _numbers(text: Column) -> Column:
+    return F.filter(F.transform(extract(text, NUMBER_OR_PERCENT), to_number), lambda v: v.isNotNull() & (v != 0))
+
+
+def _months(text: Column) -> Column:
+    return F.array_distinct(F.transform(extract(text, MONTH), lambda m: F.lower(F.substring(m, 1, 3))))
 
 
 def _first_pair(pairs: list[tuple[str, str]], in_a, in_b) -> Column:
@@ -103,8 +114,10 @@ def modal_flip(a: Column, b: Column) -> Column:
 
 def numeric_delta(a: Column, b: Column, tolerance: float = 0.03, most_ratio: float = 10.0) -> Column:
     """(a, b, gap) of the pair of numbers with the largest gap within the same order of magnitude; the first of equals."""
-    numbers = lambda s: F.filter(F.transform(extract(s, NUMBER_OR_PERCENT), to_number), lambda v: v.isNotNull() & (v != 0))
-    na, nb = numbers(a), numbers(b)
+    return _delta(_numbers(a), _numbers(b), tolerance, most_ratio)
+
+
+def _delta(na: Column, nb: Column, tolerance: float = 0.03, most_ratio: float = 10.0) -> Column:
     gap = lambda x, y: F.abs(x - y) / F.greatest(F.abs(x), F.abs(y))
     near = lambda x, y: F.greatest(F.abs(x), F.abs(y)) / F.greatest(F.lit(1e-9), F.least(F.abs(x), F.abs(y))) <= most_ratio
     cross = F.flatten(F.transform(na, lambda x, i: F.transform(nb, lambda y, j: F.struct(gap(x, y).alias("gap"), (-i).alias("i"), (-j).alias("j"), x.alias("a"), y.alias("b"), near(x, y).alias("near")))))
@@ -113,25 +126,39 @@ def numeric_delta(a: Column, b: Column, tolerance: float = 0.03, most_ratio: flo
 
 def date_conflict(a: Column, b: Column) -> Column:
     """P10: months that differ where both sides speak of validity; of several months the first by alphabet is given."""
-    months = lambda s: F.array_distinct(F.transform(extract(s, MONTH), lambda m: F.lower(F.substring(m, 1, 3))))
-    ma, mb = months(a), months(b)
+    side = lambda s: F.struct(_months(s).alias("months"), s.rlike(DATE_CUE).alias("cue"))
+    return _conflict(side(a), side(b))
+
+
+def _conflict(fa: Column, fb: Column) -> Column:
+    ma, mb = fa["months"], fb["months"]
     differ = (F.size(ma) > 0) & (F.size(mb) > 0) & (F.array_sort(ma) != F.array_sort(mb))
     pick = lambda x, y: F.coalesce(F.array_min(F.array_except(x, y)), F.array_min(x))
-    return F.when(differ & a.rlike(DATE_CUE) & b.rlike(DATE_CUE), F.array(pick(ma, mb), pick(mb, ma)))
+    return F.when(differ & fa["cue"] & fb["cue"], F.array(pick(ma, mb), pick(mb, ma)))
+
+
+def features(text: Column) -> Column:
+    """What the gates need of one statement; computed once for each statement, not once for each pair."""
+    tokens = tx.polarity_tokens(text)
+    return F.struct(
+        F.array_intersect(tokens, F.lit(ANTONYM_WORDS)).alias("antonyms"), F.arrays_overlap(tokens, F.lit(lx.NEGATIONS)).alias("negated"), _content(tokens).alias("content"), _numbers(text).alias("numbers"), _months(text).alias("months"), text.rlike(DATE_CUE).alias("cue"),
+        F.lower(text).alias("low"), F.array_distinct(tx.keywords(text)).alias("keywords"), F.array_distinct(tx.concept_tokens(text)).alias("concepts"),
+    )
 
 
 def with_gate(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``pairs`` with the signals of columns a and b and whether any is there."""
-    ca, cb = F.col(a), F.col(b)
-    df = pairs.withColumn("ta", tx.polarity_tokens(ca)).withColumn("tb", tx.polarity_tokens(cb))
-    negated = lambda t: F.arrays_overlap(t, F.lit(lx.NEGATIONS))
-    df = df.withColumn("neg_a", negated(F.col("ta"))).withColumn("neg_b", negated(F.col("tb"))).withColumn("shared", _shared_words(F.col("ta"), F.col("tb")))
-    df = df.withColumn("antonym", antonym_hit(F.col("ta"), F.col("tb"))).withColumn("modal", modal_flip(ca, cb)).withColumn("numeric", numeric_delta(ca, cb)).withColumn("date", date_conflict(ca, cb))
+    """``pairs`` with the signals of columns a and b and whether any is there; columns fa and fb (``features``) are used if given."""
+    given = "fa" in pairs.columns
+    df = pairs if given else pairs.withColumn("fa", features(F.col(a))).withColumn("fb", features(F.col(b)))
+    fa, fb = F.col("fa"), F.col("fb")
+    df = df.withColumn("neg_a", fa["negated"]).withColumn("neg_b", fb["negated"]).withColumn("shared", F.size(F.array_intersect(fa["content"], fb["content"])))
+    df = df.withColumn("antonym", F.when((F.size(fa["antonyms"]) > 0) & (F.size(fb["antonyms"]) > 0), antonym_hit(fa["antonyms"], fb["antonyms"]))).withColumn("modal", modal_flip(fa["low"], fb["low"])).withColumn("numeric", _delta(fa["numbers"], fb["numbers"])).withColumn("date", _conflict(fa, fb))
+    df = df if given else df.drop("fa", "fb")
     one_sided = (F.col("neg_a") != F.col("neg_b")) & (F.col("shared") >= 2)
     df = df.withColumn("neg_side", F.when(one_sided, F.when(F.col("neg_a"), "a").otherwise("b"))).withColumn("numeric", F.when(F.col("shared") >= 1, F.col("numeric")))
     names = (("neg_side", "one_sided_negation"), ("antonym", "antonym_pair"), ("modal", "modal_flip"), ("numeric", "numeric_delta"), ("date", "date_conflict"))
     df = df.withColumn("signals", F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(n)) for c, n in names))))
-    return df.withColumn("passed", F.size("signals") > 0).drop("ta", "tb", "neg_a", "neg_b", "shared")
+    return df.withColumn("passed", F.size("signals") > 0).drop("neg_a", "neg_b", "shared")
 
 
 def _has(text: Column, words: list[str]) -> Column:

@@ -67,12 +67,12 @@ def append_new(records: DataFrame, numeric: DataFrame) -> DataFrame:
 def cross_pairs(statements: DataFrame, related: DataFrame, least_shared: int = 2) -> DataFrame:
     """Statements of a chunk with those of its related chunks, same role, enough shared keywords.
 
-    ``statements``: doc_id, chunk_id, stmt_idx, role, statement; ``related``: doc_id, chunk_id, other. Both joins are on equal keys.
+    ``statements``: doc_id, chunk_id, stmt_idx, role, statement, f (``gates.features``); ``related``: doc_id, chunk_id, other. Both joins are on equal keys.
     """
-    a = statements.select("doc_id", "chunk_id", "role", F.col("stmt_idx").alias("i"), F.col("statement").alias("a"))
-    b = statements.select("doc_id", F.col("chunk_id").alias("other"), "role", F.col("stmt_idx").alias("j"), F.col("statement").alias("b"))
+    a = statements.select("doc_id", "chunk_id", "role", F.col("stmt_idx").alias("i"), F.col("statement").alias("a"), F.col("f").alias("fa"))
+    b = statements.select("doc_id", F.col("chunk_id").alias("other"), "role", F.col("stmt_idx").alias("j"), F.col("statement").alias("b"), F.col("f").alias("fb"))
     joined = related.join(a, ["doc_id", "chunk_id"]).join(b, ["doc_id", "other", "role"])
-    return joined.where(gates.topical_overlap(F.col("a"), F.col("b")) >= least_shared)
+    return joined.where(F.size(F.array_intersect("fa.keywords", "fb.keywords")) >= least_shared)
 
 
 def records(intra: DataFrame, cross: DataFrame, least_confidence: int = 60) -> DataFrame:

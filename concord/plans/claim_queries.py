@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import claims, gates, reconcile
 from .common import PAIRS, STATEMENTS, duck, sql
-from .gate_queries import GATE_SQL, q
+from .gate_queries import GATE_SQL, all_pairs, pair_roles, q
 
 
 def _values(pairs: list[tuple[str, str]]) -> str:
@@ -64,9 +64,9 @@ COMPARED = """compared AS (SELECT a.chunk_id, a.metric, a.entity, a.unit, a.stmt
 
 def p14_precision_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a chunk: roles on all, polarity gates only where the roles agree."""
-    pairs = sql(spark, sf_dir, PAIRS, "customer", "nation").withColumn("role_a", gates.role(F.col("a"))["role"]).withColumn("role_b", gates.role(F.col("b"))["role"])
+    pairs = all_pairs(spark, sf_dir)
     agree = gates.compatible(F.col("role_a"), F.col("role_b"))
-    kept = gates.with_gate(pairs.where(agree)).select(*pairs.columns, "passed")
+    kept = gates.with_gate(pair_roles(spark, sf_dir)).select("doc_id", "chunk_id", "i", "j", F.col("role").alias("role_a"), F.col("role").alias("role_b"), "passed")
     df = claims.precision_gate(kept, _rows(spark, sf_dir)).select("chunk_id", "i", "j", "keep", "stage", "reason", F.round("gap", 6).alias("gap"))
     rest = pairs.where(~agree).select("chunk_id", "i", "j", F.lit(False).alias("keep"), F.lit("role").alias("stage"), F.lit("role_mismatch").alias("reason"), F.lit(None).cast("double").alias("gap"))
     return df.unionByName(rest)

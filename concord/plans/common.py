@@ -9,9 +9,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` (a plain scan) in at least as many partitions as there are cores.
+
+    Regular expressions cost far more than reading, so a table of few row groups would keep most cores idle; a table of as many
+    splits as cores, which any large one is, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+#: Tables from which texts are made or read.
+SPREAD = ("customer", "orders", "part", "documents")
+
+
 def sql(spark: SparkSession, sf_dir: str, query: str, *names: str) -> DataFrame:
     """``query`` over tables, given by name in braces."""
-    return spark.sql(query.format(**{n: "{" + n + "}" for n in names}), **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(query.format(**{n: "{" + n + "}" for n in names}), **{n: spread(table(spark, sf_dir, n)) if n in SPREAD else table(spark, sf_dir, n) for n in names})
 
 
 #: Pages of one document for each source, with a running header and page numbers.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..operators import gates
-from .common import PAIRS, STATEMENTS, duck, sql
+from .common import PAIRS, STATEMENTS, duck, spread, sql, table
 from .text_queries import CONCEPTS_SQL, KEYWORDS_SQL, strip
 
 
@@ -34,18 +34,33 @@ def p1_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, STATEMENTS, "customer", "nation").withColumn("r", r).select("doc_id", "chunk_id", "stmt_idx", F.col("r.role").alias("role"), F.col("r.score").alias("score"), F.concat_ws(" ", "r.reasons").alias("reasons"))
 
 
+def with_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, STATEMENTS, "customer", "nation").withColumn("role", gates.role(F.col("statement"))["role"])
+
+
+def with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that can contradict others, with what the gates need of them."""
+    return with_roles(spark, sf_dir).where(F.col("role").isin("claim", "definition")).withColumn("f", gates.features(F.col("statement")))
+
+
 def pair_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose roles agree: roles are an equi-join key, so pairs of other roles are never built."""
-    s = sql(spark, sf_dir, STATEMENTS, "customer", "nation").withColumn("role", gates.role(F.col("statement"))["role"]).where(F.col("role").isin("claim", "definition"))
-    a = s.select("doc_id", "chunk_id", "role", F.col("stmt_idx").alias("i"), F.col("statement").alias("a"))
-    b = s.select("chunk_id", "role", F.col("stmt_idx").alias("j"), F.col("statement").alias("b"))
+    s = with_features(spark, sf_dir)
+    a = s.select("doc_id", "chunk_id", "role", F.col("stmt_idx").alias("i"), F.col("statement").alias("a"), F.col("f").alias("fa"))
+    b = s.select("chunk_id", "role", F.col("stmt_idx").alias("j"), F.col("statement").alias("b"), F.col("f").alias("fb"))
     return a.join(b, ["chunk_id", "role"]).where("i < j")
 
 
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of statements of a chunk with both roles, found per statement."""
+    s = with_roles(spark, sf_dir)
+    a = s.select("doc_id", "chunk_id", F.col("stmt_idx").alias("i"), F.col("statement").alias("a"), F.col("role").alias("role_a"))
+    return a.join(s.select("chunk_id", F.col("stmt_idx").alias("j"), F.col("statement").alias("b"), F.col("role").alias("role_b")), "chunk_id").where("i < j")
+
+
 def p4_role_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sql(spark, sf_dir, PAIRS, "customer", "nation").withColumn("ra", gates.role(F.col("a"))["role"]).withColumn("rb", gates.role(F.col("b"))["role"])
-    kept = gates.compatible(F.col("ra"), F.col("rb"))
-    return df.groupBy("doc_id", kept.alias("kept"), F.when(~kept, F.concat_ws(" ↔ ", "ra", "rb")).alias("reason")).agg(F.count("*").alias("n"))
+    kept = gates.compatible(F.col("role_a"), F.col("role_b"))
+    return all_pairs(spark, sf_dir).groupBy("doc_id", kept.alias("kept"), F.when(~kept, F.concat_ws(" ↔ ", "role_a", "role_b")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +124,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..operators.pairs import lexical_conflicts
 
-    return lexical_conflicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lexical_conflicts(spread(table(spark, sf_dir, "documents")))
 
 
 FLAG_SQL = f"""WITH st AS ({{statements}}), kw AS (SELECT doc_id, stmt_idx, unnest(list_distinct({KEYWORDS_SQL.format("statement")})) AS k FROM st),

@@ -11,7 +11,7 @@ from ..functions import responses
 from ..operators import gates, pairs, reports, visual, votes
 from ..sources import pages, store
 from .common import STATEMENTS, duck, sql, table
-from .gate_queries import GATE_SQL, _any, pair_roles, q
+from .gate_queries import GATE_SQL, _any, pair_roles, q, with_features
 from .graph_queries import SECTIONS, WRITES
 from .text_queries import CONCEPTS_SQL, KEYWORDS_SQL
 
@@ -25,12 +25,12 @@ def _scored(df: DataFrame) -> DataFrame:
 
 
 def _intra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gated = gates.with_gate(pair_roles(spark, sf_dir)).where("passed").where(gates.topical_overlap(F.col("a"), F.col("b")) >= 1)
+    gated = gates.with_gate(pair_roles(spark, sf_dir)).where("passed").where(F.arrays_overlap("fa.keywords", "fb.keywords"))
     return _scored(gated).select("doc_id", "chunk_id", F.col("chunk_id").alias("other"), "i", "j", "a", "b", "score")
 
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sql(spark, sf_dir, STATEMENTS, "customer", "nation").withColumn("role", gates.role(F.col("statement"))["role"]).where(F.col("role").isin("claim", "definition"))
+    s = with_features(spark, sf_dir)
     chunks = s.select("doc_id", "chunk_id").distinct()
     related = chunks.select("doc_id", "chunk_id", F.explode(F.array(F.col("chunk_id") + 1, F.col("chunk_id") + 2)).alias("other"))
     gated = gates.with_gate(pairs.cross_pairs(s, related)).where("passed")

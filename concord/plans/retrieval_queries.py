@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..operators import retrieval
-from .common import table
+from .common import spread, table
 
 SYSTEM = "Answer from the given sections only."
 
@@ -24,14 +24,14 @@ def r2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents for each benchmark passage."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    scores = retrieval.normalised(retrieval.bm25(queries, table(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("bm25", F.round("bm25", 6))
+    scores = retrieval.normalised(retrieval.bm25(queries, spread(table(spark, sf_dir, "documents")), "doc_id", "text")).withColumn("bm25", F.round("bm25", 6))
     place = F.row_number().over(retrieval.Window.partitionBy("query_id").orderBy(F.desc("bm25"), "doc_id"))
     return scores.withColumn("rank", place).where("rank <= 5").select("query_id", "rank", "doc_id", "bm25")
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, vectors = _vectors(spark, sf_dir)
-    texts = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") == F.col("id")).select("id", "text", "e")
+    texts = spread(table(spark, sf_dir, "documents")).join(vectors, F.col("doc_id") == F.col("id")).select("id", "text", "e")
     asked = queries.join(texts, F.col("query_id") == F.col("id"))
     dense = retrieval.dense_scores(retrieval.distances(asked.select("query_id", "q"), texts.select("id", "e")))
     lexical = retrieval.bm25(asked.select("query_id", F.col("text").alias("query_text")), texts, "id", "text")

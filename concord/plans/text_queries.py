@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..operators import chunking
-from .common import PAGES, PARAGRAPHS, duck, sql, table
+from .common import PAGES, PARAGRAPHS, duck, spread, sql, table
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -90,7 +90,7 @@ STATEMENTS_SQL = rf"""SELECT doc_id, unnest(range(len(s)))::INTEGER AS stmt_idx,
 
 
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.statement_rows(table(spark, sf_dir, "documents"), "doc_id")
+    return chunking.statement_rows(spread(table(spark, sf_dir, "documents")), "doc_id")
 
 
 def t10_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def t10_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t12_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("idx", "sentence"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("idx", "sentence"))
 
 
 T12_SQL = rf"""SELECT doc_id, unnest(range(len(s)))::INTEGER AS idx, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({strip(r"regexp_replace(text, '\s*\n\s*', ' ', 'g')")}, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {strip("x")}), lambda x: length(x) >= 20) AS s FROM documents)"""
