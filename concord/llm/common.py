@@ -66,6 +66,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """``prefix``, made longer until no column (case apart) begins with it."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow string column; null is the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

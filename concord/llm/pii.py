@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
+from .common import free_prefix
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -171,28 +172,28 @@ def _of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == KINDS.index(kind)
 
 
-def with_spans(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with ``pii_base`` and ``pii_spans``: arrays of (start, kind, end, text), ordered; base spans are in both."""
+def with_spans(documents: DataFrame, text: str = "text", p: str = "pii_") -> DataFrame:
+    """``documents`` with ``pii_base`` and ``pii_spans`` (or another prefix p): arrays of (start, kind, end, text), ordered; base spans are in both."""
     trees, limits = model()
-    df = documents.withColumn("pii_text", F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003"))
+    df = documents.withColumn(f"{p}text", F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003"))
     for kind, pattern in BASE.items():
-        df = df.withColumn(f"pii_{kind}", matches("pii_text", pattern, kind))
+        df = df.withColumn(f"{p}{kind}", matches(f"{p}text", pattern, kind))
     for kind, pattern in LOOSE.items():
-        df = df.withColumn(f"pii_loose_{kind}", matches("pii_text", pattern, kind))
-    base = F.array_sort(F.concat(*(F.filter(f"pii_{k}", _validator(k)) for k in BASE)))
-    resembling = F.filter("pii_card", lambda s: F.length(F.regexp_replace(s["text"], "[^0-9]", "")).between(13, 20))
-    df = df.withColumn("pii_base", base).withColumn("pii_more", F.concat(F.col("pii_loose_email"), resembling, F.col("pii_loose_phone")))
+        df = df.withColumn(f"{p}loose_{kind}", matches(f"{p}text", pattern, kind))
+    base = F.array_sort(F.concat(*(F.filter(f"{p}{k}", _validator(k)) for k in BASE)))
+    resembling = F.filter(f"{p}card", lambda s: F.length(F.regexp_replace(s["text"], "[^0-9]", "")).between(13, 20))
+    df = df.withColumn(f"{p}base", base).withColumn(f"{p}more", F.concat(F.col(f"{p}loose_email"), resembling, F.col(f"{p}loose_phone")))
 
     def chosen(s: Column) -> Column:
-        before = F.substring("pii_text", F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
-        after = F.substring("pii_text", s["end"] + 1, F.lit(1))
+        before = F.substring(f"{p}text", F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
+        after = F.substring(f"{p}text", s["end"] + 1, F.lit(1))
         limit = F.element_at(F.lit([min(limits[k], 1e9) for k in KINDS]), s["kind"] + 1)
         return tree_column(trees, feature_columns(s["kind"], before, s["text"], after)) >= limit
 
-    inside = lambda s: F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))  # noqa: E731  what a base span covers is redacted anyway
-    more = F.when(F.size("pii_more") > 0, F.filter(F.filter("pii_more", lambda s: ~inside(s)), chosen)).otherwise(F.array().cast(SPAN))
-    df = df.withColumn("pii_spans", F.array_sort(F.array_distinct(F.concat(F.col("pii_base"), more))))
-    return df.drop("pii_text", "pii_more", *(f"pii_{k}" for k in BASE), *(f"pii_loose_{k}" for k in LOOSE))
+    inside = lambda s: F.exists(f"{p}base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))  # noqa: E731  what a base span covers is redacted anyway
+    more = F.when(F.size(f"{p}more") > 0, F.filter(F.filter(f"{p}more", lambda s: ~inside(s)), chosen)).otherwise(F.array().cast(SPAN))
+    df = df.withColumn(f"{p}spans", F.array_sort(F.array_distinct(F.concat(F.col(f"{p}base"), more))))
+    return df.drop(f"{p}text", f"{p}more", *(f"{p}{k}" for k in BASE), *(f"{p}loose_{k}" for k in LOOSE))
 
 
 def joined(spans: str) -> Column:
@@ -209,7 +210,8 @@ def find(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents``, same columns, with every span of ``text`` replaced by its kind in brackets; overlapping spans become one."""
-    found = with_spans(documents, text)
+    p = free_prefix(documents.columns, "pii_")
+    found = with_spans(documents, text, p)
     names = F.lit([f"[{k.upper()}]" for k in KINDS])
     whole = F.col(text).cast("string")
 
@@ -219,5 +221,5 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
         over = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
         return F.when(s["start"] >= acc["at"], new).otherwise(over)
 
-    clean = F.aggregate("pii_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, clean).otherwise(F.col(text))).select(*documents.columns)
+    clean = F.aggregate(f"{p}spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    return found.withColumn(text, F.when(F.size(f"{p}spans") > 0, clean).otherwise(F.col(text))).select(*documents.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_map, bound_arrow_batches, cut, texts_of
+from .common import batch_map, bound_arrow_batches, cut, free_prefix, texts_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -185,11 +185,12 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     hashes and fingerprints are shuffled.
     """
     columns = [c for c in documents.columns if documents.schema[c].dataType.typeName() not in ("map", "variant")]
-    keys = [F.xxhash64(*columns).alias("sh_a"), F.xxhash64(F.lit("b"), *columns[::-1]).alias("sh_b")]
-    marked = fingerprints(documents.select(F.col("doc_id").cast("long").alias("sh_id"), *keys, "text"), keep=("sh_id", "sh_a", "sh_b"))
-    order = F.struct(F.col("sh_id").isNull().alias("no_id"), "sh_id", "sh_a", "sh_b")
+    a, b = (free_prefix(documents.columns, "sh_") + x for x in "ab")
+    keys = [F.xxhash64(*columns).alias(a), F.xxhash64(F.lit("b"), *columns[::-1]).alias(b)]
+    marked = fingerprints(documents.select(F.col("doc_id").cast("long").alias("sh_id"), *keys, "text"), keep=("sh_id", a, b))
+    order = F.struct(F.col("sh_id").isNull().alias("no_id"), "sh_id", a, b)
     nodes = cut(marked.groupBy("fp").agg(F.min(order).alias("first")))
     found = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     first = nodes.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = documents.select("*", *keys).join(first.select("first.sh_a", "first.sh_b"), ["sh_a", "sh_b"], "left_semi")
-    return kept.dropDuplicates(["sh_a", "sh_b"]).select(*documents.columns)
+    kept = documents.select("*", *keys).join(first.select(f"first.{a}", f"first.{b}"), [a, b], "left_semi")
+    return kept.dropDuplicates([a, b]).select(*documents.columns)
