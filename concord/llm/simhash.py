@@ -147,6 +147,7 @@ def fingerprints(documents: DataFrame, text: str = "text", keep: tuple[str, ...]
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``fp``, enough to connect all that are within the radius."""
+    bound_arrow_batches(distinct.sparkSession)
     width = 64 // BLOCKS
     block = lambda i: F.expr(f"shiftrightunsigned(fp, {i * width}) & {(1 << width) - 1}")
     own, rest = [], []
