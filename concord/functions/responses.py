@@ -21,7 +21,8 @@ def first_group(text: Column, pattern: str, other: Column | str | None = None) -
 
 def confidence(text: Column) -> Column:
     """0 to 100; null if the field is missing."""
-    return F.least(F.lit(100), F.greatest(F.lit(0), first_group(text, r"Confidence:\s*(\d+)").try_cast("int")))
+    found = first_group(text, r"Confidence:\s*(\d+)").try_cast("int")
+    return F.when(found.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), found)))
 
 
 def severity(text: Column) -> Column:

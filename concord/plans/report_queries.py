@@ -121,7 +121,7 @@ def _first(pattern: str, other: str = "NULL") -> str:
     return f"coalesce(nullif(regexp_extract(text, {q(pattern)}, 1), ''), {other})"
 
 
-_CONF = r"least(100, greatest(0, TRY_CAST(nullif(regexp_extract(text, 'Confidence:\s*(\d+)', 1), '') AS INTEGER)))"
+_CONF = r"CASE WHEN regexp_matches(text, 'Confidence:\s*\d') THEN least(100, greatest(0, TRY_CAST(regexp_extract(text, 'Confidence:\s*(\d+)', 1) AS INTEGER))) END"
 _SEV = f"upper(left({_first('(?i)Severity:' + chr(92) + 's*(High|Medium|Low)', q('Low'))}, 1)) || lower(substr({_first('(?i)Severity:' + chr(92) + 's*(High|Medium|Low)', q('Low'))}, 2))"
 
 
@@ -224,7 +224,7 @@ SELECT ord, (CASE WHEN judged AND yes >= 2 THEN least(99, confidence + 3) WHEN j
     "x23_x24_x26_x27_responses": f"""SELECT id, NOT contains(text, 'NO CONTRADICTION FOUND') AND contains(text, 'Type:') AND contains(text, 'Severity:') AND contains(text, 'Confidence:') AS valid, (CASE WHEN contains(text, 'CONTRADICTION FOUND:') THEN 2 ELSE 0 END)::INTEGER AS n_blocks, {_CONF} AS confidence, {_SEV} AS severity,
  {_first('(?i)Type:' + chr(92) + 's*(Direct|Conditional|Exception-based|Numerical|Temporal|Definitional|Scope)', q('Direct'))} AS type, upper({_first('(?i)Source:' + chr(92) + 's*(INTRA|CROSS)', q('CROSS'))}) AS source, regexp_extract(text, 'Statement A[^"]*"([^"]+)"', 1) AS quoted_a, regexp_extract(text, 'Statement B[^"]*"([^"]+)"', 1) AS quoted_b, {_field("Explanation")} AS explanation, {_field("Conflicting Section")} AS conflicting FROM ({duck(RESPONSES)})""",
     "x25_a22_visual_records": f"""SELECT * FROM (SELECT id AS chart_id, CASE WHEN id % 2 = 0 THEN 'Multi-hop-Visual-' ELSE 'Visual-' END || {_first('(?i)Type:' + chr(92) + 's*(Numerical|Trend|Scope|Categorical|Temporal|Omission)', q('Numerical'))} AS type, {_SEV} AS severity, coalesce({_CONF}, 60) AS confidence, trim(regexp_extract(text, 'Chart Claim:\\s*(.+?)(?:\\n|$)', 1)) AS chart_claim,
- trim(regexp_extract(text, 'Text Claim:\\s*(.+?)(?:\\n|$)', 1)) AS text_claim, '' AS hop_chain, true AS is_visual, id % 2 = 0 AS is_multi_hop FROM ({duck(RESPONSES)}) WHERE contains(text, 'CONTRADICTION FOUND:')) WHERE confidence >= 60""",
+ trim(regexp_extract(text, 'Text Claim:\\s*(.+?)(?:\\n|$)', 1)) AS text_claim, '' AS hop_chain, true AS is_visual, id % 2 = 0 AS is_multi_hop FROM ({duck(RESPONSES)}) WHERE contains(text, 'CONTRADICTION FOUND')) WHERE confidence >= 60""",
     "x28_report_rows": f"""SELECT id, s AS source, CASE WHEN contains(lower(c), 'same section') OR s = 'INTRA' THEN t || ' (intra-section)' ELSE t || '  vs  ' || c END AS pair, a AS statement_a, b AS statement_b, e AS explanation FROM (SELECT id, 'Section ' || (id % 9) AS t, upper(coalesce(nullif({_field("Source")}, ''), 'CROSS')) AS s, {_field("Conflicting Section")} AS c, {_field("Statement A")} AS a, {_field("Statement B")} AS b, {_field("Explanation")} AS e FROM ({duck(RESPONSES)}))""",
     "x20_x21_chart_chunks": f"""SELECT doc_name, (10000 + i)::INTEGER AS id, 'Chart-' || i || ' (p.' || (page_number + 1) || ')' AS label, CASE WHEN title <> '' THEN 'Chart-' || i || ': ' || left(title, 35) ELSE 'Chart-' || i || ' (p.' || (page_number + 1) || ')' END AS display, CASE WHEN title <> '' THEN title ELSE 'Chart on page ' || (page_number + 1) END AS heading, page_number + 1 AS page_number,
  md5('[CHART on Page ' || page_number || ']' || CASE WHEN title <> '' THEN chr(10) || 'Chart Title: ' || title ELSE '' END || chr(10) || 'Chart Type: ' || chart_type || CASE WHEN x_axis_label <> '' THEN chr(10) || 'Axes: X-axis: ' || x_axis_label ELSE '' END || chr(10) || 'Data Points: ' || array_to_string(list_transform(range(1, 16), lambda k: 'q' || (k + shift) || ': ' || k), '; ') || chr(10) || 'Trend: up') AS digest
