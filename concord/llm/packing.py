@@ -2,19 +2,21 @@
 
 Each source is a queue of its documents' tokens. A deficit round-robin fills every window of
 ``WINDOW`` tokens from the queues: in each window a queue gains its quantum (its share of the window) on
-top of the deficit it carries, spends whole tokens, and carries the rest to the next window. With deficits
-settled in queue order the state after ``u`` windows has a closed form,
+top of the deficit it carries, spends whole tokens, and carries the rest to the next window. The round-robin is
+hierarchical: the queues are the leaves of a balanced binary tree, and of the ``t`` tokens that a node has spent so far
 
-    served(k, u) = floor(C_k * WINDOW * u / S) - floor(C_(k-1) * WINDOW * u / S)
+    floor(t * weight of its left half / its weight)
 
-(``C_k``: weights of the queues up to k, ``S``: sum of all weights), so any partition resumes the round-robin
-at its first window with exactly the deficits that the one before it leaves, without waiting for it. A *phase*
+are its left half's and the others its right half's. Both grow with ``t``, so no queue, however small its share, is ever
+taken back from, and each keeps within the tree's depth of its exact share. From this closed form any partition resumes the
+round-robin at its first window with exactly the deficits that the one before it leaves, without waiting for it. A *phase*
 is a run of whole windows over one set of queues; where a queue ends inside a window, that window is served by
 explicit rounds (``serve_window``) that hand the unused quanta to the queues that still have tokens.
 
 Plan: tokenise once into a table in the shared folder; sum tokens by (partition, queue); two levels of prefix
-sums give each partition's place in each queue; a second narrow pass over the table cuts the pieces. Token ids are
-never shuffled, and the driver sees one total per queue, of which there are at most ``MAX_QUEUES``.
+sums give each partition's place in each queue; a second narrow pass over the table cuts the pieces. Token ids are not
+shuffled unless there are over ``BROADCAST_ROWS`` places to look up, and the driver sees one total per queue, of which there are
+at most ``MAX_QUEUES``.
 
 Results for odd input: a null or empty text is the end token alone; a null source is a queue of its own;
 repeated rows are packed as often as they occur; an empty table gives no rows; other columns are ignored. The last
@@ -23,6 +25,7 @@ window alone may be shorter than ``WINDOW``.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -63,10 +66,31 @@ class Phase:
         """Tokens of the queues up to k (exclusive) in the first u windows of the phase."""
         if self.takes is not None:
             return sum(self.takes[:k]) * u
-        return self.bounds[k] * (WINDOW * u) // self.bounds[-1]
+        before, _ = self._spent(k, u)
+        return before
 
     def served(self, k: int, u: np.ndarray | int):
-        return self.reached(k + 1, u) - self.reached(k, u)
+        """Tokens of queue k in the first u windows of the phase; never falls as u grows."""
+        if self.takes is not None:
+            return self.takes[k] * u
+        _, own = self._spent(k, u)
+        return own
+
+    def _spent(self, k: int, u: np.ndarray | int):
+        """Tokens of the queues before k, and of queue k, in the first u windows."""
+        low, high, before, own = 0, len(self.bounds) - 1, 0 * u, WINDOW * u
+        while high - low > 1:
+            middle = (low + high) // 2
+            left = (self.bounds[middle] - self.bounds[low]) * own // max(1, self.bounds[high] - self.bounds[low])
+            if k < middle:
+                high, own = middle, left
+            else:
+                low, before, own = middle, before + left, own - left
+        return before, own
+
+    @property
+    def depth(self) -> int:
+        return max(1, (len(self.bounds) - 2).bit_length())
 
 
 def weights_of(shares: list[float], left: list[int]) -> list[int]:
@@ -121,19 +145,20 @@ def windows_of(phase: Phase, k: int, at: np.ndarray) -> np.ndarray:
     """The window of the phase that serves position ``at`` (counted from the phase's start) of queue k."""
     if phase.takes is not None:
         return np.zeros(len(at), np.int64)
-    weight = phase.bounds[k + 1] - phase.bounds[k]
-    u = np.clip(at * phase.bounds[-1] // (WINDOW * weight), 0, phase.windows - 1)
-    while (low := phase.served(k, u) > at).any():
-        u -= low
-    while (high := phase.served(k, u + 1) <= at).any():
-        u += high
-    return u
+    weight = (phase.bounds[k + 1] - phase.bounds[k]) * WINDOW
+    near, reach = at * phase.bounds[-1] // weight, (phase.depth + 2) * phase.bounds[-1] // weight + 2
+    low, high = np.clip(near - reach, 0, phase.windows - 1), np.clip(near + reach, 0, phase.windows - 1)
+    while (low < high).any():  # the first window after which more than ``at`` tokens are served
+        middle = (low + high) // 2
+        past = phase.served(k, middle + 1) > at
+        low, high = np.where(past, low, middle + 1), np.where(past, middle, high)
+    return low
 
 
 def pieces_of(schedule: list[Phase], k: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pieces of documents that take [start, start + n) of queue k: row, start in the document, length, window, offset."""
-    found = []
-    for p in schedule:
+    found, befores = [], [p.before[k] for p in schedule]
+    for p in schedule[max(0, bisect_right(befores, int(start.min())) - 1) : bisect_left(befores, int((start + n).max()))]:
         low, high = p.before[k], p.before[k] + int(p.served(k, p.windows))
         a, b = np.maximum(start, low), np.minimum(start + n, high)
         rows = np.flatnonzero(a < b)

@@ -100,6 +100,28 @@ def test_schedule_serves_every_token_once(totals, data):
     assert len(schedule) <= 3 * len(totals) + 2
 
 
+def test_small_queues_keep_their_place_in_every_window():
+    """Many queues of less than a token per window: windows stay gapless, and in each phase every queue keeps near its exact share."""
+    rng = random.Random(6)
+    totals = [3_000_000, *(rng.randrange(1, 1500) for _ in range(300))]
+    schedule, windows = packing.phases(totals, [float(n) for n in totals]), {}
+    for p in schedule:
+        if p.bounds:
+            for u in range(0, p.windows + 1, max(1, p.windows // 7)):
+                weights = np.diff(p.bounds)
+                assert all(abs(p.served(k, u) - packing.WINDOW * u * int(w) / p.bounds[-1]) < p.depth + 1 for k, w in enumerate(weights))
+    for k, total in enumerate(totals):
+        step = np.arange(0, total, 700)
+        row, _, length, w, offset = packing.pieces_of(schedule, k, step, np.minimum(total - step, 700))
+        assert np.bincount(row, length).tolist() == np.minimum(total - step, 700).tolist()
+        for a, n, i in zip(offset.tolist(), length.tolist(), w.tolist()):
+            windows.setdefault(i, []).append((a, n))
+    for i, own in windows.items():
+        own.sort()
+        assert [a for a, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist()
+        assert sum(n for _, n in own) == packing.WINDOW or i == max(windows)
+
+
 def test_packing_targets(spark):
     df = spark.createDataFrame([(i, "word " * 3000, "ab"[i % 2]) for i in range(8)], "doc_id long, text string, source string")
     rows = packing.pack(df, WORDS, {"a": 0.75, "b": 0.25}).collect()
