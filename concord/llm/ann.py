@@ -13,7 +13,7 @@ The driver holds a sample of at most ``SAMPLE_BYTES`` for the codebooks, and K^2
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Rows with the
 query's own vec_id are no candidates; other repeated rows are candidates as often as they occur, up to k + 1 of each
-vector. An empty table gives no rows; other columns are ignored. If there are fewer than k candidates, all are returned.
+vector. A repeated row is one query. An empty table gives no rows; other columns are ignored. If there are fewer than k candidates, all are returned.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
 
     dealt = "block long, part int, e array<double>, ids array<long>, cells array<long>"
     held = coded.withColumn("hash", F.pmod(F.xxhash64("e"), F.lit(1 << 40))).mapInArrow(batch_map(deal), dealt)
-    queries = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", "e").mapInArrow(ask, dealt)
+    queries = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", "e").dropDuplicates().mapInArrow(ask, dealt)
 
     def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ordered by block, its entries before its queries."""
