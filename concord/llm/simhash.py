@@ -187,7 +187,8 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """
     columns = [c for c in documents.columns if documents.schema[c].dataType.typeName() not in ("map", "variant")]
     a, b = (free_prefix(documents.columns, "sh_") + x for x in "ab")
-    keys = [F.xxhash64(*columns).alias(a), F.xxhash64(F.lit("b"), *columns[::-1]).alias(b)]
+    nulls = F.array(*(F.col(c).isNull() for c in columns))  # the hash passes over nulls
+    keys = [F.xxhash64(nulls, *columns).alias(a), F.xxhash64(F.lit("b"), nulls, *columns[::-1]).alias(b)]
     marked = fingerprints(documents.select(F.col("doc_id").cast("long").alias("sh_id"), *keys, "text"), keep=("sh_id", a, b))
     order = F.struct(F.col("sh_id").isNull().alias("no_id"), "sh_id", a, b)
     nodes = cut(marked.groupBy("fp").agg(F.min(order).alias("first")))

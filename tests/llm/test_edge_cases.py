@@ -89,6 +89,11 @@ def test_simhash_without_ids(spark):
     assert simhash.one_of_each(df).count() == 1
 
 
+def test_simhash_tells_nulls_apart(spark):
+    df = spark.createDataFrame([(1, None, "a b c"), (1, "a b c", None)], "doc_id long, lang string, text string")
+    assert simhash.one_of_each(df).count() == 2
+
+
 def test_bpe(spark):
     docs = documents(spark)
     rows = bpe.round_trip_digests(docs, BYTES).collect()
