@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..operators import chunking
-from .common import PAGES, PARAGRAPHS, duck, spread, sql, table
+from .common import PAGES, PARAGRAPHS, WHOLE_PARAGRAPHS, duck, spread, sql, table
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -32,8 +34,8 @@ def t3_strip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.strip_pages(sql(spark, sf_dir, PAGES, "documents")).select("doc", "page_no", F.length("page_text").alias("n"), F.md5("page_text").alias("digest"))
 
 
-def t4_t8_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sql(spark, sf_dir, PARAGRAPHS, "documents")
+def t4_t8_headings(spark: SparkSession, sf_dir: str, texts: str = PARAGRAPHS) -> DataFrame:
+    df = sql(spark, sf_dir, texts, "documents")
     return df.select("doc_id", tx.heading(F.col("text")).alias("heading"), tx.low_information(F.col("text")).alias("low_information"), tx.is_meta(F.col("text")).alias("meta"))
 
 
@@ -44,12 +46,12 @@ SELECT doc_id, CASE WHEN length(f) < 60 AND ((upper(f) = f AND lower(f) <> f) OR
  regexp_matches(text, '(?i){"|".join(lx.META)}') AS meta FROM s"""
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(sql(spark, sf_dir, PARAGRAPHS, "documents"))
+def _chunks(spark: SparkSession, sf_dir: str, texts: str) -> DataFrame:
+    return chunking.chunk(sql(spark, sf_dir, texts, "documents"))
 
 
-def t5_t7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("doc_id", "ord", F.length("text").alias("n"), F.md5("text").alias("digest"))
+def t5_t7_chunks(spark: SparkSession, sf_dir: str, texts: str = PARAGRAPHS) -> DataFrame:
+    return _chunks(spark, sf_dir, texts).select("doc_id", "ord", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 _UNIFIED = r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')"
@@ -72,8 +74,8 @@ chosen AS (SELECT f.doc_id, len(coalesce(h.c, [])) >= 3 AS by_heading, CASE WHEN
 chunks AS (SELECT doc_id, k - 1 AS ord, CASE WHEN by_heading OR k = 1 THEN c[k] ELSE {strip("right(c[k - 1], 200)")} || ' … ' || c[k] END AS text FROM chosen, unnest(range(1, len(c) + 1)) AS r(k))"""
 
 
-def t9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.label(_chunks(spark, sf_dir)).select("doc_id", "id", "label", "display", "heading", F.length("text").alias("n"))
+def t9_labels(spark: SparkSession, sf_dir: str, texts: str = PARAGRAPHS) -> DataFrame:
+    return chunking.label(_chunks(spark, sf_dir, texts)).select("doc_id", "id", "label", "display", "heading", F.length("text").alias("n"))
 
 
 T9_SQL = f"""WITH RECURSIVE {CHUNKS_SQL}, s AS (SELECT doc_id, ord, text, {strip("text")} AS s, trim(string_split({strip("text")}, chr(10))[1], ' ') AS f FROM chunks),
@@ -148,3 +150,7 @@ ORACLE_SQL = {
     "t5_t7_chunks": f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, ord::INTEGER AS ord, length(text)::INTEGER AS n, md5(text) AS digest FROM chunks",
     "t9_labels": T9_SQL, "t10_statements": STATEMENTS_SQL, "t12_sentences": T12_SQL, "t13_t18_tokens": T13_SQL, "s1_page_text": S1_SQL,
 }
+#: The three queries over PARAGRAPHS again, over whole texts.
+for _name in ("t4_t8_t11_headings", "t5_t7_chunks", "t9_labels"):
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], texts=WHOLE_PARAGRAPHS)
+    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(duck(PARAGRAPHS), duck(WHOLE_PARAGRAPHS))
