@@ -50,6 +50,7 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All-rights-reserved", "All rights reserved. No part of this publication may be reproduced without written permission."),
+    ("All-rights-reserved-line", "All rights reserved."),
 )
 WORD = re.compile(rb"[a-z0-9]+")
 BLANK = re.compile(r"\n[ \t\r]*\n")
