@@ -1,16 +1,19 @@
 """Licence notices by the Dice coefficient over word bigrams.
 
-Units of a text are its lines and its paragraphs (parts between blank lines) of more than one line. A unit and a licence
-template are normalised alike (A-Z lower-cased; words are runs of a-z and 0-9), and compared by their sets of word bigrams,
+Units of a text are its lines, its paragraphs (parts between blank lines) of more than one line, and its windows: for each
+template all runs of consecutive words, over lines and paragraphs or inside a line, of up to (2 - t) / t times the
+template's bigrams. A unit and a licence template are normalised alike (A-Z lower-cased; words are runs of a-z and 0-9), and compared by their sets of word bigrams,
 
     dice = 2 * shared / (own + template's)
 
 A dice of ``THRESHOLD`` bounds the sizes: own lies within t / (2 - t) and (2 - t) / t times the template's. Units outside
 the bounds of all templates are passed over before their bigrams are compared, and an index from bigrams to templates
-leads to those that share any.
+leads to those that share any. Windows are compared for those templates of which the text has, anywhere, the bigrams that a dice
+of ``THRESHOLD`` takes at least, and only from words on where enough of them are within reach.
 
-The result of a document is its best unit: highest dice, then first template in the list, then first line, lines before
-paragraphs. Odd input: null and empty texts, and texts without a match, have a null licence and dice 0; repeated rows give
+The result of a document is its best unit: highest dice, then lines and paragraphs before windows (of windows that of the
+template with the most bigrams), then first template in the list, then first line, lines before paragraphs. The number of matching lines counts lines that match as a whole. ``oracle_sql`` has lines and
+paragraphs alone, so it agrees where no window is better than them. Odd input: null and empty texts, and texts without a match, have a null licence and dice 0; repeated rows give
 repeated rows; an empty table gives none; other columns are ignored.
 """
 
@@ -18,7 +21,9 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +77,8 @@ class Matcher:
         self.threshold, ratio = threshold, threshold / (2 - threshold)
         self.low, self.high = [ratio * len(s) for s in self.sets], [len(s) / ratio for s in self.sets]
         self.least, self.most = min(self.low), max(self.high)
+        self.fewest = [threshold / (2 - threshold) * len(s) - 1e-9 for s in self.sets]  # shared bigrams
+        self.reach = [int((len(words(text)) - 1) / ratio) for _, text in templates]
         self.index: dict[tuple[bytes, bytes], list[int]] = {}
         for i, s in enumerate(self.sets):
             for b in s:
@@ -93,21 +100,61 @@ class Matcher:
         found = [x for x in found if x[0] >= self.threshold]
         return max(found) if found else None
 
+    def windows(self, text: str) -> list[tuple[float, int, int]]:
+        """(dice, -template, -line) of the best window of each template that reaches the threshold."""
+        own = words(text)
+        grams = list(zip(own, own[1:]))
+        shared: dict[int, int] = {}
+        for b in self.index.keys() & set(grams):
+            for i in self.index[b]:
+                shared[i] = shared.get(i, 0) + 1
+        close = [i for i, n in shared.items() if n >= self.fewest[i]]
+        if not close:
+            return []
+        last: dict[tuple[bytes, bytes], int] = {}
+        before = np.empty(len(grams), np.int64)  # where a bigram stood last
+        for k, b in enumerate(grams):
+            before[k] = last.get(b, -1)
+            last[b] = k
+        found = []
+        for i in close:
+            hit = np.fromiter((b in self.sets[i] for b in grams), bool, len(grams))
+            if best := self._best_window(i, hit, before):
+                dice, start = best
+                at = next(islice(WORD.finditer(text.encode().lower()), start, None)).start()
+                found.append((dice, -i, -text.encode().count(b"\n", 0, at)))
+        return found
+
+    def _best_window(self, i: int, hit: np.ndarray, before: np.ndarray) -> tuple[float, int] | None:
+        """Dice and first word of the best, then first, window of template i. ``hit``: whether a bigram is the template's."""
+        size, reach, starts = len(self.sets[i]), self.reach[i], np.flatnonzero(hit)
+        ahead = np.searchsorted(starts, starts + reach) - np.arange(len(starts))  # hits within reach
+        best, at = 0.0, -1
+        for start, n in zip(starts[ahead >= self.fewest[i]].tolist(), ahead[ahead >= self.fewest[i]].tolist()):
+            if 2.0 * min(n, size) / (min(n, size) + size) <= best:
+                continue
+            new = before[start : start + reach] < start
+            dice = 2.0 * np.cumsum(new & hit[start : start + reach]) / (np.cumsum(new) + size)
+            if (top := float(dice.max())) > best:
+                best, at = top, start
+        return (best, at) if best >= self.threshold else None
+
     def scan(self, text: str) -> tuple[str | None, float, int | None, int]:
         """Licence, dice and first line of the best unit, and the number of lines that match."""
         found, lines = [], text.split("\n")
         for at, line in enumerate(lines):
             if hit := self.best(line):
-                found.append((*hit, -at, 1))
+                found.append((hit[0], 1, 0, hit[1], -at, 1))
         matching, at = len(found), 0
         for part in BLANK.split(text) if len(lines) > 1 else ():
             start = text.find(part, at)
             at = start + len(part)
             if "\n" in part and (hit := self.best(part)):
-                found.append((*hit, -text.count("\n", 0, start), 0))
+                found.append((hit[0], 1, 0, hit[1], -text.count("\n", 0, start), 0))
+        found += [(dice, 0, len(self.sets[-i]), i, line, 0) for dice, i, line in self.windows(text)]
         if not found:
             return None, 0.0, None, 0
-        dice, template, line, _ = max(found)
+        dice, _, _, template, line, _ = max(found)
         return self.names[-template], dice, -line, matching
 
 
