@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +74,10 @@ def g15_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.compare(e, "doc0", "doc1")
 
 
-def g2_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of statements, cut to 200 characters, back to the first statement that contains their first 80."""
+def g2_resolve(spark: SparkSession, sf_dir: str, every: int = 3) -> DataFrame:
+    """Quotes of statements, cut to 200 characters, back to the first statement that contains their first 80. ``every``: 1 for all statements."""
     rows = sql(spark, sf_dir, STATEMENTS, "customer", "nation").withColumn("doc_name", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    quotes = rows.where("stmt_idx % 3 = 0").select("doc_name", (F.col("chunk_id") * 24 + F.col("stmt_idx")).alias("quote_id"), F.substring("statement", 1, 200).alias("quote"))
+    quotes = rows.where(F.col("stmt_idx") % every == 0).select("doc_name", (F.col("chunk_id") * 24 + F.col("stmt_idx")).alias("quote_id"), F.substring("statement", 1, 200).alias("quote"))
     return graph.resolve(quotes, rows.select("doc_name", "chunk_id", "stmt_idx", "statement")).select("doc_name", "quote_id", "chunk_id", "stmt_idx")
 
 
@@ -105,3 +107,6 @@ ORACLE_SQL = {
     "x19_mentions": f"WITH {MENTIONS_SQL} SELECT doc_name, src, entity, count(*) AS n FROM mentions GROUP BY ALL",
     "g2_j10_resolve": f"WITH s AS (SELECT 'doc' || doc_id AS doc_name, chunk_id, stmt_idx, statement FROM ({duck(STATEMENTS)})) SELECT doc_name, quote_id, chunk_id, stmt_idx FROM (SELECT a.doc_name, a.chunk_id * 24 + a.stmt_idx AS quote_id, b.chunk_id, b.stmt_idx, row_number() OVER (PARTITION BY a.doc_name, a.chunk_id, a.stmt_idx ORDER BY b.chunk_id, b.stmt_idx) AS place FROM s a JOIN s b ON a.doc_name = b.doc_name AND contains(b.statement, left(a.statement, 80)) WHERE a.stmt_idx % 3 = 0) WHERE place = 1",
 }
+#: g2_j10_resolve again, over the quotes of all statements.
+QUERIES["g2_j10_resolve_all"] = partial(g2_resolve, every=1)
+ORACLE_SQL["g2_j10_resolve_all"] = ORACLE_SQL["g2_j10_resolve"].replace(" WHERE a.stmt_idx % 3 = 0", "")

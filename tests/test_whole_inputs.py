@@ -20,3 +20,9 @@ def test_chunks_reach_the_end_of_long_texts(spark):
     total = catalogue.QUERIES["t5_t7_chunks_whole"](spark, SF).groupBy("doc_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
     rows = long.join(total, "doc_id").collect()
     assert rows and all(r.n > 0.9 * r.n_chars for r in rows)
+
+
+def test_every_statement_is_resolved(spark):
+    rows = catalogue.QUERIES["g2_j10_resolve_all"](spark, SF).collect()
+    assert len(rows) == common.sql(spark, SF, common.STATEMENTS, "customer", "nation").count()
+    assert {r.quote_id % 24 for r in rows} == set(range(24))
