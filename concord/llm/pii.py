@@ -11,6 +11,9 @@ contexts drawn by a fixed seed from the lists below), so the model is the same e
 
 Matching is linear in a text's length: patterns are possessive and begin only where a run of their characters begins.
 
+Numbers in other national formats (7 to 15 digits, bare or in up to six groups) are proposed as well and have trees of their own,
+so that they take nothing from the other candidates.
+
 Odd input: null and empty texts have no spans; control characters 1 and 2 in a text count as one other character each;
 repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
 """
@@ -41,6 +44,8 @@ BASE = {
 LOOSE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*+\x20?[\[({]\x20?(?:at|@)\x20?[\])}]\x20?[a-z0-9-]++(?:\x20?(?:[\[({]\x20?(?:dot|\.)\x20?[\])}]|\.)\x20?[a-z0-9-]++)++",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[.\x20-])[0-9]{3,4}[.\x20-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])",
+    # one to six groups, the first in brackets or not; of 7 to 15 digits in all
+    "phone_any": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{1,5}+\)[\x20/-]?+[0-9]{1,15}+(?:[.\x20/-][0-9]{1,15}+){0,4}+|[0-9]{1,15}+(?:[.\x20/-][0-9]{1,15}+){0,5}+)(?![0-9A-Za-z]|[.-][0-9])",
 }
 BYTE_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CONTEXT = 40
@@ -50,7 +55,9 @@ CUES = {
     "card": "card|visa|mastercard|amex|credit|debit|pay|cvv|expir",
     "other": "order|invoice|isbn|issn|version|serial|ref|item|article|sku|page|part no|build|lot|batch|date|score|doi|total|qty",
 }
-FEATURES = ("kind", "length", "digits", "separators", "groups", "longest_group", "luhn", "bracket", "dots", "cue_phone", "cue_email", "cue_card", "cue_other", "letter_before", "symbol_before", "digit_after")
+FEATURES = ("kind", "length", "digits", "separators", "groups", "longest_group", "luhn", "bracket", "dots", "cue_phone", "cue_email", "cue_card", "cue_other", "letter_before", "symbol_before", "digit_after", "leading_zero", "cue_foreign")
+#: More cues for phones, for the model of ``phone_any``.
+FOREIGN = "tél|appele|portable|numéro|rufnummer|handy|anruf|móvil|llam"
 TRAIN_SPANS = 6000
 PRECISION = 0.98
 TREES, DEPTH = 24, 3
@@ -83,6 +90,36 @@ def _generated(rng: np.random.Generator, count: int) -> tuple[list[tuple], np.nd
     return rows, np.array(truth, float)
 
 
+def _generated_numbers(rng: np.random.Generator, count: int) -> tuple[list[tuple], np.ndarray]:
+    """The same for candidates of ``phone_any``: national formats, and dates, amounts and identifiers."""
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    number = lambda least, most: f"{rng.integers(least, most + 1):02}"
+    words = ("the", "was", "and", "of", "seen", "in", "near", "une", "der", "las", "report", "thing", "line", "then")
+    cues, other = [*CUES["phone"].split("|"), *FOREIGN.split("|")], CUES["other"].split("|")
+    rows, truth = [], []
+    for _ in range(count):
+        true = bool(rng.integers(2))
+        a, b, pairs = digits(3), digits(3), [digits(2) for _ in range(4)]
+        if true:
+            north = (f"({a}) {b}-{digits(4)}", f"{a}-{b}-{digits(4)}", f"{a}.{b}.{digits(4)}", f"{a} {b} {digits(4)}")
+            french = tuple(sep.join((f"0{pick('1234567')}", *pairs)) for sep in " .-")
+            spanish = (f"{pick('679')}{digits(2)} {' '.join(pairs[:3])}", f"{pick('679')}{digits(2)} {a} {b}", f"{pick('679')}{digits(2)}-{a}-{b}")
+            german = (f"0{digits(2)} {digits(8)}", f"(0{digits(2)}) {digits(7)}", f"0{digits(3)} {digits(7)}", f"0{digits(3)}-{digits(7)}", f"0{digits(2)}/{digits(7)}", f"0{digits(2)} {a} {b} {digits(2)}")
+            bare = (f"0{digits(9)}", digits(10), f"{pick('679')}{digits(8)}", digits(7))
+            span = pick(pick((north, french, spanish, german, bare)))
+        else:
+            day = (number(1, 28), number(1, 12), number(1950, 2049))
+            dates = tuple(sep.join(x) for sep in ".-/" for x in (day, day[::-1]))
+            numbers = (f"{number(1, 999)}.{a}.{b}", f"{number(1, 999)} {a} {b}", f"{day[2]}-{number(1950, 2049)}", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", " ".join(pairs), f"{digits(4)} {digits(4)}")
+            span = pick(pick((dates, numbers, numbers, (digits(7 + rng.integers(9)),), (f"{a} {b} {digits(4)}", f"{a}-{b}-{digits(4)}"))))
+        draw = rng.random()
+        context = pick(cues) if draw < (0.9 if true else 0.005) else pick(words) if draw < (0.99 if true else 0.5) else pick(other)
+        rows.append(("phone", f"{pick(words)} {context}{pick((': ', ' ', ' is ', '. '))}", span, pick((" ", ". ", ", ", "", " x"))))
+        truth.append(true)
+    return rows, np.array(truth, float)
+
+
 def _features(kind: str, before: str, span: str, after: str) -> list[float]:
     """What ``feature_columns`` computes, for training."""
     groups = re.findall("[0-9]+", span)
@@ -91,15 +128,17 @@ def _features(kind: str, before: str, span: str, after: str) -> list[float]:
     near = before[-CONTEXT:].lower()
     return [
         KINDS.index(kind), len(span), len(digits), len(re.findall(r"[\x20().-]", span)), len(groups), max(map(len, groups), default=0), luhn, bool(re.search(r"[(\[{]", span)), span.count("."),
-        *(bool(re.search(CUES[c], near)) for c in ("phone", "email", "card", "other")), bool(re.search("[A-Za-z]$", before)), bool(re.search("[#$=_/:-]$", before)), bool(re.match("[0-9]", after)),
+        *(bool(re.search(CUES[c], near)) for c in ("phone", "email", "card", "other")), bool(re.search("[A-Za-z]$", before)), bool(re.search("[#$=_/:-]$", before)), bool(re.match("[0-9]", after)), bool(re.match(r"\(?0", span)), bool(re.search(FOREIGN, near)),
     ]
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[gbt.Trees, dict[str, float]]:
-    """The trees and the threshold (of the margin) for each kind."""
-    rows, truth = _generated(np.random.default_rng(11), TRAIN_SPANS)
+@lru_cache(maxsize=2)
+def model(numbers: bool = False) -> tuple[gbt.Trees, dict[str, float]]:
+    """The trees and the threshold (of the margin) for each kind; ``numbers``: those of ``phone_any``, which are learned apart."""
+    rows, truth = (_generated_numbers if numbers else _generated)(np.random.default_rng(11), TRAIN_SPANS)
     x = np.array([_features(*r) for r in rows], float)
+    if not numbers:
+        x = x[:, :-2]
     half = np.arange(len(rows)) % 2 == 0
     trees = gbt.fit(x[half], truth[half], trees=TREES, depth=DEPTH, rate=0.3, bins=32)
     margin, limits = trees.margin(x[~half]), {}
@@ -133,7 +172,7 @@ def feature_columns(kind: Column, before: Column, span: Column, after: Column) -
     near = F.lower(before)
     return [
         number(kind), number(F.length(span)), number(F.length(digits)), number(F.regexp_count(span, F.lit(r"[\x20().-]"))), number(F.size(groups)), number(F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0))), number((digits != "") & F.call_function("luhn_check", digits)), number(span.rlike(r"[(\[{]")), number(F.regexp_count(span, F.lit(r"\."))),
-        *(number(near.rlike(CUES[c])) for c in ("phone", "email", "card", "other")), number(before.rlike("[A-Za-z]$")), number(before.rlike("[#$=_/:-]$")), number(after.rlike("^[0-9]")),
+        *(number(near.rlike(CUES[c])) for c in ("phone", "email", "card", "other")), number(before.rlike("[A-Za-z]$")), number(before.rlike("[#$=_/:-]$")), number(after.rlike("^[0-9]")), number(span.rlike(r"^\(?0")), number(near.rlike(FOREIGN)),
     ]
 
 
@@ -178,22 +217,27 @@ def with_spans(documents: DataFrame, text: str = "text", p: str = "pii_") -> Dat
     df = documents.withColumn(f"{p}text", F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003"))
     for kind, pattern in BASE.items():
         df = df.withColumn(f"{p}{kind}", matches(f"{p}text", pattern, kind))
-    for kind, pattern in LOOSE.items():
-        df = df.withColumn(f"{p}loose_{kind}", matches(f"{p}text", pattern, kind))
+    for name, pattern in LOOSE.items():
+        df = df.withColumn(f"{p}loose_{name}", matches(f"{p}text", pattern, name.split("_")[0]))
     base = F.array_sort(F.concat(*(F.filter(f"{p}{k}", _validator(k)) for k in BASE)))
     resembling = F.filter(f"{p}card", lambda s: F.length(F.regexp_replace(s["text"], "[^0-9]", "")).between(13, 20))
+    numbers = F.filter(f"{p}loose_phone_any", lambda s: F.length(F.regexp_replace(s["text"], "[^0-9]", "")).between(7, 15))
+    df = df.withColumn(f"{p}numbers", numbers)
     df = df.withColumn(f"{p}base", base).withColumn(f"{p}more", F.concat(F.col(f"{p}loose_email"), resembling, F.col(f"{p}loose_phone")))
 
-    def chosen(s: Column) -> Column:
+    def chosen(s: Column, trees: gbt.Trees = trees, limits: dict[str, float] = limits) -> Column:
         before = F.substring(f"{p}text", F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
         after = F.substring(f"{p}text", s["end"] + 1, F.lit(1))
         limit = F.element_at(F.lit([min(limits[k], 1e9) for k in KINDS]), s["kind"] + 1)
         return tree_column(trees, feature_columns(s["kind"], before, s["text"], after)) >= limit
 
     inside = lambda s: F.exists(f"{p}base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))  # noqa: E731  what a base span covers is redacted anyway
-    more = F.when(F.size(f"{p}more") > 0, F.filter(F.filter(f"{p}more", lambda s: ~inside(s)), chosen)).otherwise(F.array().cast(SPAN))
-    df = df.withColumn(f"{p}spans", F.array_sort(F.array_distinct(F.concat(F.col(f"{p}base"), more))))
-    return df.drop(f"{p}text", f"{p}more", *(f"{p}{k}" for k in BASE), *(f"{p}loose_{k}" for k in LOOSE))
+    covered = lambda s: F.exists(f"{p}base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    none = F.array().cast(SPAN)
+    more = F.when(F.size(f"{p}more") > 0, F.filter(F.filter(f"{p}more", lambda s: ~inside(s)), lambda s: chosen(s))).otherwise(none)
+    phones = F.when(F.size(f"{p}numbers") > 0, F.filter(F.filter(f"{p}numbers", lambda s: ~covered(s)), lambda s: chosen(s, *model(numbers=True)))).otherwise(none)
+    df = df.withColumn(f"{p}spans", F.array_sort(F.array_distinct(F.concat(F.col(f"{p}base"), more, phones))))
+    return df.drop(f"{p}text", f"{p}more", f"{p}numbers", *(f"{p}{k}" for k in BASE), *(f"{p}loose_{k}" for k in LOOSE))
 
 
 def joined(spans: str) -> Column:
