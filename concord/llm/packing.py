@@ -13,10 +13,14 @@ round-robin at its first window with exactly the deficits that the one before it
 is a run of whole windows over one set of queues; where a queue ends inside a window, that window is served by
 explicit rounds (``serve_window``) that hand the unused quanta to the queues that still have tokens.
 
+Every source has a queue of its own, however many there are. Beyond ``FAN`` queues the round-robin has levels: up to ``FAN``
+queues are served, by the same rule and in windows of the same size, into one stream, and that stream is a queue of the level
+above, whose share is the sum of theirs. A window then holds its streams' shares, and a stream its queues' shares over each
+``WINDOW`` tokens of it.
+
 Plan: tokenise once into a table in the shared folder; sum tokens by (partition, queue); two levels of prefix
 sums give each partition's place in each queue; a second narrow pass over the table cuts the pieces. Token ids are not
-shuffled unless there are over ``BROADCAST_ROWS`` places to look up, and the driver sees one total per queue, of which there are
-at most ``MAX_QUEUES``.
+shuffled unless there are over ``BROADCAST_ROWS`` places to look up, and the driver sees one name and one total per source.
 
 Results for odd input: a null or empty text is the end token alone; a null source is a queue of its own;
 repeated rows are packed as often as they occur; an empty table gives no rows; other columns are ignored. The last
@@ -41,7 +45,8 @@ from .common import batch_map, bound_arrow_batches, texts_of, written
 
 WINDOW = 2048
 END_ID = 1
-MAX_QUEUES = 1024
+#: Queues that one schedule serves.
+FAN = 128
 #: Weights are in 1/65536 of the mixture, so that served() stays in 64 bits up to 10^14 tokens.
 WEIGHT_SUM = 1 << 16
 #: Rows of (partition, queue) offsets up to which they are broadcast (about 40 bytes each); beyond, they are joined by shuffle.
@@ -88,6 +93,18 @@ class Phase:
                 low, before, own = middle, before + left, own - left
         return before, own
 
+    def served_by_all(self, u: int) -> np.ndarray:
+        """Tokens of every queue in the first u windows (of a phase with bounds)."""
+        bounds = np.array(self.bounds)
+        low, high, own = np.array([0]), np.array([len(bounds) - 1]), np.array([WINDOW * u])
+        while (high - low).max() > 1:  # one level of the tree; a leaf is its own left half
+            middle = np.where(high - low > 1, (low + high) // 2, high)
+            left = (bounds[middle] - bounds[low]) * own // np.maximum(1, bounds[high] - bounds[low])
+            left = np.where(high - low > 1, left, own)
+            split = middle < high
+            low, high, own = np.concatenate((low, middle[split])), np.concatenate((middle, high[split])), np.concatenate((left, (own - left)[split]))
+        return own[np.argsort(low)]
+
     @property
     def depth(self) -> int:
         return max(1, (len(self.bounds) - 2).bit_length())
@@ -125,13 +142,13 @@ def phases(totals: list[int], shares: list[float]) -> list[Phase]:
         for w in weights:
             bounds.append(bounds[-1] + w)
         phase = Phase(first, 0, tuple(before), tuple(bounds), None)
-        fits = lambda n: all(phase.served(k, n) <= left[k] for k in range(len(left)))
+        fits = lambda n: (phase.served_by_all(n) <= left).all()
         low, high = 0, sum(left) // WINDOW
         while low < high:  # served() grows with n
             middle = (low + high + 1) // 2
             low, high = (middle, high) if fits(middle) else (low, middle - 1)
         if low:
-            phase, taken = Phase(first, low, tuple(before), tuple(bounds), None), [phase.served(k, low) for k in range(len(left))]
+            phase, taken = Phase(first, low, tuple(before), tuple(bounds), None), phase.served_by_all(low).tolist()
         else:
             taken = serve_window(weights, left)
             phase = Phase(first, 1, tuple(before), None, tuple(taken))
@@ -177,7 +194,27 @@ def pieces_of(schedule: list[Phase], k: int, start: np.ndarray, n: np.ndarray) -
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def tokenised(documents: DataFrame, vocabulary: str, queues: dict, shared: int) -> DataFrame:
+def levels(totals: list[int], shares: list[float]) -> list[list[list[Phase]]]:
+    """Schedules by level, from that of the sources up; queue k of a level is served by its schedule k // FAN, as queue k % FAN."""
+    out = []
+    while True:
+        groups = range(0, max(1, len(totals)), FAN)
+        out.append([phases(totals[g : g + FAN], shares[g : g + FAN]) for g in groups])
+        if len(groups) == 1:
+            return out
+        totals, shares = [sum(totals[g : g + FAN]) for g in groups], [sum(shares[g : g + FAN]) for g in groups]
+
+
+def placed_pieces(schedules: list[list[list[Phase]]], k: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``pieces_of`` through all levels."""
+    rows, inside, at, size = np.arange(len(start)), np.zeros(len(start), np.int64), start, n
+    for level in schedules:
+        part, from_, size, window, offset = pieces_of(level[k // FAN], k % FAN, at, size)
+        rows, inside, at, k = rows[part], inside[part] + from_, window * WINDOW + offset, k // FAN
+    return rows, inside, size, window, offset
+
+
+def tokenised(documents: DataFrame, vocabulary: str, queues: dict) -> DataFrame:
     """A row per document: its queue, ids with the end token, and its place among its partition's rows of that queue."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +222,7 @@ def tokenised(documents: DataFrame, vocabulary: str, queues: dict, shared: int)
         kind = np.uint16 if words.size <= 1 << 16 else np.uint32
         for batch in batches:
             ids = [np.append(words.ids(t), END_ID).astype(kind) for t in texts_of(batch.column(1))]
-            queue = [queues[s] if s in queues else len(queues) + h % shared for s, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            queue = [queues[s] for s in batch.column(2).to_pylist()]
             from_ = []
             for q, x in zip(queue, ids):
                 from_.append(filled.get(q, 0))
@@ -195,36 +232,33 @@ def tokenised(documents: DataFrame, vocabulary: str, queues: dict, shared: int)
                 names=["pk_doc_id", "pk_queue", "pk_part", "pk_from", "pk_n", "pk_ids"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("pk_doc_id"), "text", F.col("source").cast("string").alias("source"), F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")).alias("pk_hash"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("pk_doc_id"), "text", F.col("source").cast("string").alias("source"))
     return rows.mapInArrow(run, TOKENS)
 
 
 def pack(documents: DataFrame, vocabulary: str, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces of all documents; ``ids``: the piece's ids as little-endian unsigned 32-bit numbers.
 
-    ``targets``: share of each source in a window (a source without one gets its share of all tokens);
+    ``targets``: share of each source in a window (sources without one divide what is left by their tokens);
     none: every source its share of all tokens, so that all queues end together.
     """
     spark = documents.sparkSession
     bound_arrow_batches(spark)
-    named = [r[0] for r in documents.select(F.col("source").cast("string").alias("s")).distinct().orderBy("s").limit(MAX_QUEUES + 1).collect()]
-    shared = 0 if len(named) <= MAX_QUEUES else MAX_QUEUES // 2
-    named = named[: MAX_QUEUES - shared]  # sources beyond these share queues by hash
+    named = [r[0] for r in documents.select(F.col("source").cast("string").alias("s")).distinct().orderBy("s").collect()]
     queues = {s: k for k, s in enumerate(named)}
-    tokens = written(tokenised(documents, vocabulary, queues, shared or 1), "packing-tokens")
+    tokens = written(tokenised(documents, vocabulary, queues), "packing-tokens")
     sums = tokens.groupBy("pk_part", "pk_queue").agg(F.sum("pk_n").alias("n"))
     block = F.floor(F.col("pk_part") / BLOCK)
     inside = sums.withColumn("block", block).withColumn("before", F.sum("n").over(Window.partitionBy("pk_queue", "block").orderBy("pk_part")) - F.col("n"))
     blocks = sums.groupBy("pk_queue", block.alias("block")).agg(F.sum("n").alias("block_n"), F.count("*").alias("rows"))
     blocks = blocks.withColumn("block_before", F.sum("block_n").over(Window.partitionBy("pk_queue").orderBy("block")) - F.col("block_n"))
     total = {r[0]: (r[1], r[2]) for r in blocks.groupBy("pk_queue").agg(F.sum("block_n"), F.sum("rows")).collect()}
-    size = len(named) + shared
-    totals = [total.get(k, (0, 0))[0] for k in range(size)]
-    shares = [float(totals[k]) for k in range(size)]
+    totals = [total.get(k, (0, 0))[0] for k in range(len(named))]
+    shares = [float(n) for n in totals]
     if targets:
-        all_tokens = sum(totals) or 1
-        shares = [float(targets.get(named[k] if k < len(named) else None, totals[k] / all_tokens)) for k in range(size)]
-    schedule = phases(totals, shares)
+        rest = max(0.0, 1.0 - sum(t for s, t in targets.items() if s in queues)) / max(1, sum(n for s, n in zip(named, totals) if s not in targets))
+        shares = [float(targets.get(s, rest * n)) for s, n in zip(named, totals)]
+    schedules = levels(totals, shares)
     base = inside.join(blocks.select("pk_queue", "block", "block_before"), ["pk_queue", "block"]).select("pk_queue", "pk_part", (F.col("before") + F.col("block_before")).alias("pk_base"))
     if sum(n for _, n in total.values()) <= BROADCAST_ROWS:
         base = F.broadcast(base)
@@ -236,14 +270,14 @@ def pack(documents: DataFrame, vocabulary: str, targets: dict[str | None, float]
         found = [[], [], [], [], []]
         for k in np.unique(queue):
             own = np.flatnonzero(queue == k)
-            rows, *rest = pieces_of(schedule, int(k), at[own], n[own])
+            rows, *rest = placed_pieces(schedules, int(k), at[own], n[own])
             for to, x in zip(found, (own[rows], *rest)):
                 to.append(x)
         row, start, length, window, offset = (np.concatenate(x) for x in found)
         ids, kind = batch.column(4), np.uint32 if wide else np.uint16
         whole = [np.frombuffer(x.as_buffer(), kind).astype("<u4").tobytes() for x in ids]
         cut_ids = [whole[r][4 * s : 4 * (s + m)] for r, s, m in zip(row.tolist(), start.tolist(), length.tolist())]
-        names = pa.array([named[k] if k < len(named) else None for k in queue.tolist()], pa.string())
+        names = pa.array([named[k] for k in queue.tolist()], pa.string())
         taken = pa.array(row)
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(taken), names.take(taken), pa.array(start), pa.array(length), pa.array(n[row]), pa.array(window), pa.array(offset), pa.array(cut_ids, pa.binary())],
