@@ -6,14 +6,15 @@ and a heap yields the centroid pairs by summed distance; it takes cells until th
 vectors that ``probed_share`` measures on the sample for a recall of ``RECALL``; these are ranked by their exact inner
 products. Clustered vectors need a small share; directions spread evenly, as in the test tables, need about a third.
 
-Equal vectors are one entry with their ``k + 1`` smallest ids, which loses no result and keeps a very common vector from
-filling a cell. Entries are dealt out in blocks of about ``BLOCK`` (a larger cell is cut into several), each query goes to
+Equal vectors are one entry with the ids of the ``k + 1`` rows of smallest id, which loses no result (a query takes no more than one
+of them away, its own) and keeps a very common vector from filling a cell. Entries are dealt out in blocks of about ``BLOCK`` (a larger cell is cut into several), each query goes to
 the blocks of its cells, and a task holds one block at a time while the queries stream past it, so memory is bounded.
 The driver holds a sample of at most ``SAMPLE_BYTES`` for the codebooks, and K^2 cell sizes at most.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Rows with the
-query's own vec_id are no candidates; other repeated rows are candidates as often as they occur, up to k + 1 of each
-vector. A repeated row is one query. An empty table gives no rows; other columns are ignored. If there are fewer than k candidates, all are returned.
+Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Candidates are all
+rows but the query's own: of several rows with its id and its vector one is its own, and the others are neighbours like any row, with
+that id. Rows that repeat both are one query; rows of one id with different vectors are a query each, whose ranks are counted
+apart. An empty table gives no rows; other columns are ignored. If there are fewer than k candidates, all are returned.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ from .common import batch_map, bound_arrow_batches, cut
 
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 32 << 20
 CELL = 8  # vectors in a cell on average, while K is below its bound
-MOST_CENTROIDS = 256
+MOST_CENTROIDS = 1024
 BLOCK = 4096
 STEPS = 12
 QUERIES = 200  # rows of the sample that measure the share
 RECALL = 0.95
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, query_no long, vec_id long, score double"
 
 
 def probed_share(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int) -> float:
@@ -104,8 +105,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
 
 
-def _best(scores: np.ndarray, ids: list[list[int]], own: int, query: np.ndarray, entries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k best rows of the entries whose score is not -inf: (query id, vec_id, score)."""
+def _best(scores: np.ndarray, ids: list[list[int]], own: int, query: np.ndarray, entries: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """The k best rows of the entries whose score is not -inf, but for the query's own row: (vec_id, score)."""
     rows = np.flatnonzero(scores > -np.inf)
     if len(rows) > k + 1:
         limit = np.partition(scores[rows], len(rows) - k - 1)[len(rows) - k - 1]
@@ -113,8 +114,12 @@ def _best(scores: np.ndarray, ids: list[list[int]], own: int, query: np.ndarray,
     found = []
     for r in rows.tolist():
         exact = math.fsum((query * entries[r]).tolist())
-        found += [(-exact, i) for i in ids[r] if i != own]
-    return [(own, i, -s) for s, i in sorted(found)[:k]]
+        rows_of = ids[r]
+        if own in rows_of and np.array_equal(query, entries[r]):
+            at = rows_of.index(own)
+            rows_of = rows_of[:at] + rows_of[at + 1 :]
+        found += [(-exact, i) for i in rows_of]
+    return [(i, -s) for s, i in sorted(found)[:k]]
 
 
 def search(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
@@ -143,8 +148,8 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
 
     coded = cut(entries.mapInArrow(batch_map(encode), "e array<double>, ids array<long>, cell long"))
     sizes = np.zeros(len(books[0]) * len(books[1]), np.int64)
-    for cell, count in coded.groupBy("cell").count().collect():
-        sizes[cell] = count
+    counted = coded.groupBy("cell").count().toArrow()
+    sizes[counted["cell"].to_numpy()] = counted["count"].to_numpy()
     chunks = np.maximum(1, -(-sizes // BLOCK))  # blocks of a cell
     filled = np.cumsum(np.where(chunks > 1, 0, sizes))  # whole cells fill blocks in order; cut cells get blocks of their own
     block = np.where(chunks > 1, 0, filled // BLOCK)
@@ -162,25 +167,27 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, out = _matrix(batch.column(1), dim), []
+            x, out = _matrix(batch.column(2), dim), []
             first, second = -(x[:, :half] @ books[0].T), -(x[:, half:] @ books[1].T)
-            for row, own in enumerate(batch.column(0).to_pylist()):
+            for row, own in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 by_block: dict[int, list[int]] = {}
                 for cell in cells_of(first[row], second[row], sizes, wanted):
                     for b in range(first_block[cell], first_block[cell] + chunks[cell]):
                         by_block.setdefault(b, []).append(cell)
-                out += [(b, row, [own], cells) for b, cells in by_block.items()]
+                out += [(b, row, own, cells) for b, cells in by_block.items()]
                 if len(out) >= 2000 or row == len(x) - 1:
                     take = pa.array([r for _, r, _, _ in out], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([b for b, *_ in out], pa.int64()), pa.array(np.ones(len(out), np.int32)), batch.column(1).take(take), pa.array([i for _, _, i, _ in out], pa.list_(pa.int64())), pa.array([c for *_, c in out], pa.list_(pa.int64()))],
+                        [pa.array([b for b, *_ in out], pa.int64()), pa.array(np.ones(len(out), np.int32)), batch.column(2).take(take), pa.array([i for _, _, i, _ in out], pa.list_(pa.int64())), pa.array([c for *_, c in out], pa.list_(pa.int64()))],
                         names=["block", "part", "e", "ids", "cells"],
                     )
                     out = []
 
     dealt = "block long, part int, e array<double>, ids array<long>, cells array<long>"
     held = coded.withColumn("hash", F.pmod(F.xxhash64("e"), F.lit(1 << 40))).mapInArrow(batch_map(deal), dealt)
-    queries = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", "e").dropDuplicates().mapInArrow(ask, dealt)
+    # dealt out anew: finding a query's cells costs far more than its few bytes suggest
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    queries = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", F.xxhash64("e").alias("no"), "e").dropDuplicates(["vec_id", "e"]).repartition(spread, "vec_id", "no").mapInArrow(ask, dealt)
 
     def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ordered by block, its entries before its queries."""
@@ -207,11 +214,11 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
                     probed_cells[probed] = True
                     scores = np.where(probed_cells[cells], matrix @ x[row], -np.inf)
                     probed_cells[probed] = False
-                    out += _best(scores, ids, own[0], x[row], matrix, k)
+                    out += [(*own, *found) for found in _best(scores, ids, own[0], x[row], matrix, k)]
                 if out:
-                    q, v, s = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+                    q, no, v, s = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(no, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "query_no", "vec_id", "score"])
 
     found = held.unionByName(queries).repartition("block").sortWithinPartitions("block", "part").mapInArrow(rank, FOUND)
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    order = F.row_number().over(Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

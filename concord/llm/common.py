@@ -49,9 +49,11 @@ def bound_arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where the setting is absent (tests)."""
+    """The cluster's shared checkpoint folder; one of our own only where the setting is absent and everything runs on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="concord-")
         spark.conf.set("spark.checkpoint.dir", where)
     context = spark.sparkContext

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from concord.llm import ann, bpe, chat, licenses, packing, pii, quality_model, quality_rules, simhash, toxicity
+from concord.llm import ann, bpe, chat, common, licenses, packing, pii, quality_model, quality_rules, simhash, toxicity
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -140,10 +140,40 @@ def test_vectors(spark):
     df = spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<float>, cell string")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df).orderBy("query_id", "rank").collect()]
     assert [x[2] for x in got if x[0] == 20] == [0, 0, 1, 2] and {x[3] for x in got if x[0] == 20} == {0.0}
-    assert [x[1:3] for x in got if x[0] == 0] == [(1, 1), (2, 2), (3, 20)]  # the repeated row is one query
+    assert [x[1:3] for x in got if x[0] == 0] == [(1, 0), (2, 1), (3, 2), (4, 20)]  # the repeated row is one query, and its other copy a neighbour
     assert ann.search(empty(df)).count() == 0
 
 
+def test_ann_repeated_ids(spark):
+    """Candidates are all rows but the query's own, against plain ranking of rows; only distinct (id, vector) pairs ask."""
+    rows = [(0, [1.0, 0.0])] * 25 + [(1, [1.0, 0.0])] * 3 + [(2, [0.5, 0.5])] * 2 + [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [2.0, 0.0])]
+    found = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    wanted = {}
+    for own in sorted(set((i, tuple(v)) for i, v in rows if i % 20 == 0)):
+        others = [(i, tuple(v)) for i, v in rows]
+        others.remove(own)
+        ranked = sorted((-sum(a * b for a, b in zip(own[1], v)), i) for i, v in others)[:20]
+        wanted.setdefault(own[0], []).extend((n + 1, i, -s) for n, (s, i) in enumerate(ranked))
+    assert {q: sorted(x) for q, x in found.items()} == {q: sorted(x) for q, x in wanted.items()}
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = documents(spark).withColumn("text", F.regexp_replace("text", "alpha", "alpha +1 (212) 555-0100"))
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
