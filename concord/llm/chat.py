@@ -7,7 +7,8 @@ contents, ends), their cumulative offsets, and gather indices that copy all byte
 
 Rows are dealt out by conversation and ordered by turn (ties by role and text), and a conversation is formatted
 in pieces of whole turns of about ``PIECE_BYTES``, so that memory does not grow with a conversation's length; its text is
-its pieces in order. The loss mask is a list of spans (start, end) in code points of the piece.
+its pieces in order. The loss mask is a list of spans (start, end) in code points of the piece. A turn is never cut, so the longest
+turn bounds memory from below: some ten copies of it.
 
 Odd input: a null text or role is the empty one; a null turn comes first; rows with a null conv_id form one conversation
 of their own; repeated rows are repeated turns; an empty table gives no rows; other columns are ignored.
@@ -97,6 +98,19 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, n
     return buffer, np.concatenate((begins[::5], [total])), begins[3::5], ends[3::5]
 
 
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points before each of the ascending byte offsets ``at``, block by block."""
+    found, total, done = np.empty(len(at), np.int64), 0, 0
+    for first in range(0, len(data) + 1, GATHER_BYTES):
+        block = (data[first : first + GATHER_BYTES] & 0xC0) != 0x80
+        last = int(np.searchsorted(at, first + GATHER_BYTES, side="left"))
+        if last > done:
+            found[done:last] = total + np.concatenate(([0], np.cumsum(block)))[at[done:last] - first]
+            done = last
+        total += int(np.count_nonzero(block))
+    return found
+
+
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (conv_id, role, text), ordered by conversation and turn, to pieces; a conversation may run over batches."""
     previous, number = object(), 0
@@ -107,7 +121,9 @@ def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roles, texts = (pc.fill_null(batch.column(i), "") for i in (1, 2))
         buffer, turn_at, text_from, text_to = assemble(roles, texts)
         data = np.frombuffer(buffer, np.uint8)
-        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
+        wanted = np.unique(np.concatenate((turn_at, text_from, text_to)))
+        points = code_points(data, wanted)
+        turn_points, from_points, to_points = (points[np.searchsorted(wanted, x)] for x in (turn_at, text_from, text_to))
         loss = pc.equal(roles, LOSS_ROLE).to_numpy(zero_copy_only=False)
         out, first = [], 0
         while first < len(ids):
@@ -115,9 +131,9 @@ def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while last < len(ids) and ids[last] == ids[first] and turn_at[last + 1] - turn_at[first] <= PIECE_BYTES:
                 last += 1
             number = number + 1 if ids[first] == previous else 0
-            previous, zero = ids[first], points[turn_at[first]]
-            spans = [{"start": int(points[text_from[i]] - zero), "end": int(points[text_to[i]] - zero)} for i in range(first, last) if loss[i]]
-            out.append((ids[first], number, bytes(buffer[int(turn_at[first]) : int(turn_at[last])]).decode(), spans))
+            previous, zero = ids[first], turn_points[first]
+            spans = [{"start": int(from_points[i] - zero), "end": int(to_points[i] - zero)} for i in range(first, last) if loss[i]]
+            out.append((ids[first], number, str(memoryview(data)[turn_at[first] : turn_at[last]], "utf-8"), spans))
             first = last
         columns = list(zip(*out))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
@@ -136,12 +152,14 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     return ordered(conversations).mapInArrow(_pieces, PIECES)
 
 
-TURN = re.compile(re.escape(START) + "(.*)\n((?:.|\n)*?)" + re.escape(END) + "\n")
-
-
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn."""
-    return [(unescape_role(m[1]), unescape(m[2])) for m in TURN.finditer(formatted)]
+def parse(formatted: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of each turn. No control string is left inside a text or a role, so the next mark found ends them."""
+    at = 0
+    while at < len(formatted):
+        line = formatted.index("\n", at)
+        end = formatted.index(END, line + 1)
+        yield unescape_role(formatted[at + len(START) : line]), unescape(formatted[line + 1 : end])
+        at = end + len(END) + 1
 
 
 def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
