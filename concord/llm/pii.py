@@ -9,7 +9,12 @@ kind, calibrated to ``PRECISION`` on a held-out half of the training candidates,
 The trees are fitted on the driver when the query is planned, from ``TRAIN_SPANS`` generated candidates (formats and
 contexts drawn by a fixed seed from the lists below), so the model is the same everywhere. Offsets are code points.
 
-Matching is linear in a text's length: patterns are possessive and begin only where a run of their characters begins.
+Work is linear in a text's length, also where all of it is matches: patterns are possessive and begin only where a run of their
+characters begins, places are running sums, what base spans cover is found by one running maximum over all spans in order, and
+contexts and redacted texts are put together from blocks of the text.
+
+A candidate that a base span covers is redacted with it; one that only overlaps a base span, or another candidate, is judged by the trees
+like any other.
 
 Numbers in other national formats (7 to 15 digits, bare or in up to six groups) are proposed as well and have trees of their own,
 so that they take nothing from the other candidates.
@@ -28,6 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.positions import cut, let, match_spans, running, text_blocks
 from . import gbt
 from .common import free_prefix
 
@@ -50,11 +56,13 @@ LOOSE = {
 BYTE_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CONTEXT = 40
 CUES = {
-    "phone": "phone|tel|call|mobile|cell|fax|dial|reach|sms|whatsapp|text me",
-    "email": "mail|contact|write|reach|address|send",
+    "phone": "phone|tel|smartphone|call|mobile|cell|fax|dial|reach|sms|whatsapp|text me",
+    "email": "mail|e-?mail|contact|write|reach|address|send",
     "card": "card|visa|mastercard|amex|credit|debit|pay|cvv|expir",
     "other": "order|invoice|isbn|issn|version|serial|ref|item|article|sku|page|part no|build|lot|batch|date|score|doi|total|qty",
 }
+#: Cues begin where a word begins; the second form is Java's.
+CUE, CUE_JAVA = r"(?<![^\W\d_])(?:{})", r"(?<!\p{{L}})(?:{})"
 FEATURES = ("kind", "length", "digits", "separators", "groups", "longest_group", "luhn", "bracket", "dots", "cue_phone", "cue_email", "cue_card", "cue_other", "letter_before", "symbol_before", "digit_after", "leading_zero", "cue_foreign")
 #: More cues for phones, for the model of ``phone_any``.
 FOREIGN = "tél|appele|portable|numéro|rufnummer|handy|anruf|móvil|llam"
@@ -128,7 +136,7 @@ def _features(kind: str, before: str, span: str, after: str) -> list[float]:
     near = before[-CONTEXT:].lower()
     return [
         KINDS.index(kind), len(span), len(digits), len(re.findall(r"[\x20().-]", span)), len(groups), max(map(len, groups), default=0), luhn, bool(re.search(r"[(\[{]", span)), span.count("."),
-        *(bool(re.search(CUES[c], near)) for c in ("phone", "email", "card", "other")), bool(re.search("[A-Za-z]$", before)), bool(re.search("[#$=_/:-]$", before)), bool(re.match("[0-9]", after)), bool(re.match(r"\(?0", span)), bool(re.search(FOREIGN, near)),
+        *(bool(re.search(CUE.format(CUES[c]), near)) for c in ("phone", "email", "card", "other")), bool(re.search("[A-Za-z]$", before)), bool(re.search("[#$=_/:-]$", before)), bool(re.match("[0-9]", after)), bool(re.match(r"\(?0", span)), bool(re.search(CUE.format(FOREIGN), near)),
     ]
 
 
@@ -151,18 +159,15 @@ def model(numbers: bool = False) -> tuple[gbt.Trees, dict[str, float]]:
     return trees, limits
 
 
-def tree_column(trees: gbt.Trees, values: list[Column]) -> Column:
-    """The margin of flattened trees as one expression of CASEs."""
+def tree_sql(trees: gbt.Trees, values: str) -> str:
+    """The margin of flattened trees as one SQL expression of CASEs over the array ``values``."""
 
-    def of(node: int) -> Column:
+    def of(node: int) -> str:
         if trees.feature[node] < 0:
-            return F.lit(float(trees.value[node]))
-        return F.when(values[trees.feature[node]] <= F.lit(float(trees.threshold[node])), of(trees.left[node])).otherwise(of(trees.right[node]))
+            return f"{float(trees.value[node])!r}D"
+        return f"CASE WHEN {values}[{int(trees.feature[node])}] <= {float(trees.threshold[node])!r}D THEN {of(trees.left[node])} ELSE {of(trees.right[node])} END"
 
-    total = F.lit(trees.bias)
-    for root in trees.roots:
-        total = total + of(int(root))
-    return total
+    return " + ".join([f"{trees.bias!r}D", *(of(int(root)) for root in trees.roots)])
 
 
 def feature_columns(kind: Column, before: Column, span: Column, after: Column) -> list[Column]:
@@ -172,7 +177,7 @@ def feature_columns(kind: Column, before: Column, span: Column, after: Column) -
     near = F.lower(before)
     return [
         number(kind), number(F.length(span)), number(F.length(digits)), number(F.regexp_count(span, F.lit(r"[\x20().-]"))), number(F.size(groups)), number(F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0))), number((digits != "") & F.call_function("luhn_check", digits)), number(span.rlike(r"[(\[{]")), number(F.regexp_count(span, F.lit(r"\."))),
-        *(number(near.rlike(CUES[c])) for c in ("phone", "email", "card", "other")), number(before.rlike("[A-Za-z]$")), number(before.rlike("[#$=_/:-]$")), number(after.rlike("^[0-9]")), number(span.rlike(r"^\(?0")), number(near.rlike(FOREIGN)),
+        *(number(near.rlike(CUE_JAVA.format(CUES[c]))) for c in ("phone", "email", "card", "other")), number(before.rlike("[A-Za-z]$")), number(before.rlike("[#$=_/:-]$")), number(after.rlike("^[0-9]")), number(span.rlike(r"^\(?0")), number(near.rlike(CUE_JAVA.format(FOREIGN))),
     ]
 
 
@@ -180,18 +185,9 @@ SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
 def matches(text: str, pattern: str, kind: str) -> Column:
-    """All matches of a pattern in column ``text``, with their offsets: the text is cut at marks around each match, and every
-    second part is a match."""
-    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\u0001$0\u0002")), "[\u0001\u0002]", -1)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), part.alias("text"))
-        return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), F.when(acc["i"] % 2 == 1, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(marked, start, step, lambda acc: acc["found"])
-    return F.when(F.col(text).rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    """All matches of a pattern in column ``text``, with their offsets."""
+    span = lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), m["raw"].alias("text"))
+    return F.when(F.col(text).rlike(pattern), F.transform(match_spans(F.col(text), pattern), span)).otherwise(F.array().cast(SPAN))
 
 
 def _valid(kind: str, span: Column) -> Column:
@@ -212,32 +208,44 @@ def _of_kind(kind: str) -> Callable[[Column], Column]:
 
 
 def with_spans(documents: DataFrame, text: str = "text", p: str = "pii_") -> DataFrame:
-    """``documents`` with ``pii_base`` and ``pii_spans`` (or another prefix p): arrays of (start, kind, end, text), ordered; base spans are in both."""
-    trees, limits = model()
+    """``documents`` with ``pii_base`` and ``pii_spans`` (or another prefix p): arrays of (start, kind, end, text), ordered; base spans are in
+    both; and ``pii_blocks``, the text in blocks, where it has any candidate."""
     df = documents.withColumn(f"{p}text", F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003"))
     for kind, pattern in BASE.items():
         df = df.withColumn(f"{p}{kind}", matches(f"{p}text", pattern, kind))
     for name, pattern in LOOSE.items():
         df = df.withColumn(f"{p}loose_{name}", matches(f"{p}text", pattern, name.split("_")[0]))
+    n_digits = lambda s: F.length(F.regexp_replace(s["text"], "[^0-9]", ""))
     base = F.array_sort(F.concat(*(F.filter(f"{p}{k}", _validator(k)) for k in BASE)))
-    resembling = F.filter(f"{p}card", lambda s: F.length(F.regexp_replace(s["text"], "[^0-9]", "")).between(13, 20))
-    numbers = F.filter(f"{p}loose_phone_any", lambda s: F.length(F.regexp_replace(s["text"], "[^0-9]", "")).between(7, 15))
-    df = df.withColumn(f"{p}numbers", numbers)
-    df = df.withColumn(f"{p}base", base).withColumn(f"{p}more", F.concat(F.col(f"{p}loose_email"), resembling, F.col(f"{p}loose_phone")))
-
-    def chosen(s: Column, trees: gbt.Trees = trees, limits: dict[str, float] = limits) -> Column:
-        before = F.substring(f"{p}text", F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
-        after = F.substring(f"{p}text", s["end"] + 1, F.lit(1))
-        limit = F.element_at(F.lit([min(limits[k], 1e9) for k in KINDS]), s["kind"] + 1)
-        return tree_column(trees, feature_columns(s["kind"], before, s["text"], after)) >= limit
-
-    inside = lambda s: F.exists(f"{p}base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))  # noqa: E731  what a base span covers is redacted anyway
-    covered = lambda s: F.exists(f"{p}base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    none = F.array().cast(SPAN)
-    more = F.when(F.size(f"{p}more") > 0, F.filter(F.filter(f"{p}more", lambda s: ~inside(s)), lambda s: chosen(s))).otherwise(none)
-    phones = F.when(F.size(f"{p}numbers") > 0, F.filter(F.filter(f"{p}numbers", lambda s: ~covered(s)), lambda s: chosen(s, *model(numbers=True)))).otherwise(none)
-    df = df.withColumn(f"{p}spans", F.array_sort(F.array_distinct(F.concat(F.col(f"{p}base"), more, phones))))
-    return df.drop(f"{p}text", f"{p}more", f"{p}numbers", *(f"{p}{k}" for k in BASE), *(f"{p}loose_{k}" for k in LOOSE))
+    resembling = F.filter(f"{p}card", lambda s: n_digits(s).between(13, 20))
+    numbers = F.filter(f"{p}loose_phone_any", lambda s: n_digits(s).between(7, 15))
+    df = df.withColumn(f"{p}base", base).withColumn(f"{p}more", F.concat(F.col(f"{p}loose_email"), resembling, F.col(f"{p}loose_phone"))).withColumn(f"{p}numbers", numbers)
+    df = df.withColumn(f"{p}blocks", F.when((F.size(f"{p}base") > 0) | (F.size(f"{p}more") > 0) | (F.size(f"{p}numbers") > 0), text_blocks(F.col(text).cast("string"))).otherwise(F.array().cast("array<string>")))
+    blocks = F.col(f"{p}blocks")
+
+    def valued(s: Column) -> Column:
+        before = cut(blocks, F.greatest(F.lit(0), s["start"] - CONTEXT), s["start"])
+        after = F.substring(cut(blocks, s["end"], s["end"] + 1), 1, 1)
+        return F.struct(s["group"].alias("group"), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["text"].alias("text")).alias("span"), F.array(*feature_columns(s["kind"], before, s["text"], after)).alias("v"))
+
+    def reached(numbers: bool) -> str:
+        trees, limits = model(numbers)
+        return f"{tree_sql(trees, 's.v')} >= array({', '.join(f'{min(limits[k], 1e9)!r}D' for k in KINDS)})[s.span.kind]"
+
+    def tagged(spans: str, group: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(group).alias("group"), s["kind"].alias("kind"), s["end"].alias("end"), s["text"].alias("text")))
+
+    def uncovered(spans: Column) -> Column:
+        """Candidates, with their values, that no base span covers; ``spans``: base spans (group 0) and candidates in order."""
+        covered = running(F.transform(spans, lambda s: F.when(s["group"] == 0, s["end"]).otherwise(0)), F.greatest)
+        return let(covered, lambda m: F.transform(F.filter(spans, lambda s, i: (s["group"] > 0) & (F.get(m, i) < s["end"])), valued))
+
+    everything = F.array_sort(F.concat(tagged(f"{p}base", 0), tagged(f"{p}more", 1), tagged(f"{p}numbers", 2)))
+    df = df.withColumn(f"{p}valued", F.when(F.size(f"{p}more") + F.size(f"{p}numbers") > 0, let(everything, uncovered)))
+    more = F.expr(f"coalesce(transform(filter(`{p}valued`, s -> CASE WHEN s.group = 1 THEN {reached(False)} ELSE {reached(True)} END), s -> s.span), array())")
+    distinct = lambda spans: F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1) != s))
+    df = df.withColumn(f"{p}spans", let(F.array_sort(F.concat(F.col(f"{p}base"), more)), distinct))
+    return df.drop(f"{p}text", f"{p}more", f"{p}numbers", f"{p}valued", *(f"{p}{k}" for k in BASE), *(f"{p}loose_{k}" for k in LOOSE))
 
 
 def joined(spans: str) -> Column:
@@ -257,13 +265,14 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     p = free_prefix(documents.columns, "pii_")
     found = with_spans(documents, text, p)
     names = F.lit([f"[{k.upper()}]" for k in KINDS])
-    whole = F.col(text).cast("string")
+    spans, blocks = F.col(f"{p}spans"), F.col(f"{p}blocks")
+    length = F.length(F.col(text).cast("string"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(whole, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1)).alias("out"), s["end"].alias("at"))
-        over = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(over)
+    def replaced(ends: Column) -> Column:
+        """``ends``: where the spans up to each one end. A span that starts before that belongs to the one before it."""
+        at = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        parts = F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] >= at(i)), F.concat(cut(blocks, at(i), s["start"]), F.element_at(names, s["kind"] + 1))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), cut(blocks, F.element_at(ends, -1), length))
 
-    clean = F.aggregate(f"{p}spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return found.withColumn(text, F.when(F.size(f"{p}spans") > 0, clean).otherwise(F.col(text))).select(*documents.columns)
+    clean = let(running(F.transform(spans, lambda s: s["end"]), F.greatest), replaced)
+    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).select(*documents.columns)
