@@ -47,14 +47,17 @@ def features(text: str) -> list[float]:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents outside the held-out part; the labels' side is broadcast, as it is bounded."""
+    """(text, label) of at most ``most`` labelled documents outside the held-out part; the labels' side is broadcast, as it is bounded.
+
+    Of rows with one doc_id that with the smallest text counts.
+    """
     key = F.col("doc_id").cast("long")
     part = F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(held_out[0]))
     own = labels.select(key.alias("q_id"), F.col(label).cast("int").alias("q_label"), part.alias("q_part")).where(F.col("q_id").isNotNull() & F.col("q_label").isin(0, 1))
     if held_out[0] > 1:
         own = own.where(F.col("q_part") != held_out[1])
     own = own.groupBy("q_id").agg(F.max("q_label").alias("q_label")).orderBy(F.xxhash64("q_id"), "q_id").limit(most)
-    return documents.select(key.alias("q_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "q_id").select("text", "q_label")
+    return documents.select(key.alias("q_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "q_id").groupBy("q_id").agg(F.min("text").alias("text"), F.first("q_label").alias("q_label")).select("text", "q_label")
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS, held_out: tuple[int, int] = HELD_OUT) -> gbt.Trees:

@@ -5,9 +5,12 @@ hashed to ``BUCKETS``. The score of a set of terms x is
 
     sigmoid(b + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2))
 
-so pairs of terms (an insult with a group mention) count beyond their own weights. Terms are chosen by chi-square on
-the training rows, in DataFrame operations; the machine is fitted on the driver by AdaGrad from the chosen terms of at
-most ``TRAIN_DOCS`` labelled documents, those of smallest hash of doc_id. Labels, lang, source and doc_id are no inputs.
+so pairs of terms (an insult with a group mention) count beyond their own weights. The machine has the terms that are
+associated with the label in the training rows, by themselves (chi-square) or in the company of another term (chi-square within the
+documents that hold one of the strongest terms, as Mantel and Haenszel combine it): a term that means something only in a pair is no worse
+off than one that always does. Their number has no cap but ``BUCKETS``. The machine is fitted on the driver by AdaGrad from at most ``TRAIN_DOCS``
+labelled documents, those of smallest hash of doc_id. Labels, lang, source and doc_id are no inputs. Equal sets of terms with
+equal labels are learnt from once, as a text that was copied a thousand times is one piece of evidence.
 
 Odd input: null texts count as empty and get the score of no terms; labels that are null or not 0 or 1 are not learnt from;
 without usable labels every score is one half; repeated rows give repeated rows; an empty table gives no rows.
@@ -25,22 +28,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_map, bound_arrow_batches, cut, texts_of
+from .common import batch_map, bound_arrow_batches, texts_of
 from .quality_model import labelled
 
-BUCKETS = 1 << 30
-TERMS = 1024
+BUCKETS = 1 << 18
 TRAIN_DOCS = 20_000
 RANK = 8
 EPOCHS = 60
 BATCH = 256
-DROPOUT = 0.6
+DROPOUT = 0.5
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
 #: A chosen term is in this many training documents at least (fewer where under 100 are toxic).
 LEAST_DOCS = 5
-#: The chi-square it reaches: this share of the training documents, within bounds.
+#: The chi-square it reaches by itself: this share of the training documents, within bounds.
 CHI2_SHARE, CHI2_BOUNDS = 1 / 80, (15.0, 100.0)
+#: The one it reaches in company, and the number of terms that are company.
+PAIR_CHI2, COMPANY = 10.0, 64
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
 
@@ -119,6 +123,33 @@ def fit(sets: list[list[int]], y: np.ndarray, terms: int, rank: int = RANK, epoc
     return Machine(bias, weight, factor)
 
 
+def chosen_terms(ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, size: int = BUCKETS) -> np.ndarray:
+    """Terms (ascending) that are associated with label 1, by themselves or in company; ``ids`` holds set after set."""
+    rows, n, ones = np.repeat(np.arange(len(y)), lengths), float(len(y)), float(y.sum())
+    m, k = np.bincount(ids, minlength=size).astype(float), np.bincount(ids, y[rows], size)
+    usual = (m >= min(LEAST_DOCS, max(2, ones // 20))) & (m < n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = np.where(usual, n * (k * (n - ones) - (m - k) * ones) ** 2 / (m * (n - m) * ones * (n - ones)), 0.0)
+    alone = chi2 >= min(max(CHI2_SHARE * n, CHI2_BOUNDS[0]), CHI2_BOUNDS[1])
+    toxic = np.flatnonzero(alone & (k * n > ones * m))
+    excess, variance, free = np.zeros(size), np.zeros(size), np.ones(len(y), bool)
+    for term in toxic[np.argsort(-chi2[toxic], kind="stable")][:COMPANY]:
+        inside = np.zeros(len(y), bool)
+        inside[rows[ids == term]] = True
+        inside &= free  # each document counts with the strongest of its terms alone
+        free &= ~inside
+        docs, share = float(inside.sum()), float(y[inside].mean()) if inside.any() else 0.0
+        if not 0 < share < 1:
+            continue
+        own = inside[rows]
+        seen = np.bincount(ids[own], minlength=size).astype(float)
+        seen[term] = 0
+        excess += np.where(seen > 0, np.bincount(ids[own], y[rows[own]], size) - seen * share, 0.0)
+        variance += seen * (docs - seen) / max(1.0, docs - 1) * share * (1 - share)
+    paired = usual & (excess > 0) & (excess**2 >= PAIR_CHI2 * variance) & (variance > 0)
+    return np.flatnonzero(alone | paired)
+
+
 @dataclass(frozen=True)
 class Model:
     index: dict[int, int]  # bucket to term
@@ -130,26 +161,24 @@ class Model:
         return sigmoid(self.machine.margin(ids, np.cumsum([len(s) for s in sets])))
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_DOCS, terms: int = TERMS, held_out: tuple[int, int] = HELD_OUT) -> Model:
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_DOCS, held_out: tuple[int, int] = HELD_OUT) -> Model:
     bound_arrow_batches(documents.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(buckets(t)) for t in texts_of(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["terms", "y"])
+        found = [np.array(sorted(buckets(t)), np.int32).tobytes() for t in texts_of(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["terms", "y"])
 
-    rows = cut(labelled(documents, labels, label, held_out, most).mapInArrow(batch_map(run), "terms array<int>, y int"))
-    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not 0 < ones < n:
+    rows = labelled(documents, labels, label, held_out, most).mapInArrow(batch_map(run), "terms binary, y int").toArrow()
+    found = sorted(set(zip(rows["terms"].to_pylist(), rows["y"].to_pylist())))  # in an order of their own
+    y = np.array([label_ for _, label_ in found], float)
+    if not 0 < y.sum() < len(y):
         return Model({}, fit([], np.zeros(0), 0))
-    seen = rows.select(F.explode("terms").alias("t"), "y").groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    k, m = F.col("k").cast("double"), F.col("n").cast("double")
-    chi2 = float(n) * (k * (n - ones) - (m - k) * ones) ** 2 / (m * (n - m) * float(ones) * float(n - ones))
-    least = min(LEAST_DOCS, max(2, ones // 20))
-    chosen = [r[0] for r in seen.where((F.col("n") >= least) & (F.col("n") < n)).select("t", chi2.alias("c")).where(F.col("c") >= min(max(CHI2_SHARE * n, CHI2_BOUNDS[0]), CHI2_BOUNDS[1])).orderBy(F.desc("c"), "t").limit(terms).collect()]
-    index = {t: i for i, t in enumerate(chosen)}
-    kept = rows.select(F.array_intersect("terms", F.lit(chosen).cast("array<int>")).alias("terms"), "y").collect() if chosen else []
-    sets = sorted(([index[t] for t in sorted(r[0])], r[1]) for r in kept)
-    return Model(index, fit([s for s, _ in sets], np.array([y for _, y in sets], float), len(index)))
+    lengths, ids = np.array([len(t) // 4 for t, _ in found]), np.frombuffer(b"".join(t for t, _ in found), np.int32)
+    chosen = chosen_terms(ids, lengths, y)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    sets = [own[own >= 0].tolist() for own in np.split(place[ids], np.cumsum(lengths)[:-1])]
+    return Model({int(t): i for i, t in enumerate(chosen)}, fit(sets, y, len(chosen)))
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, held_out: tuple[int, int] = HELD_OUT) -> DataFrame:
