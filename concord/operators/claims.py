@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.positions import after, before, match_spans
 from . import gates
+from .reconcile import reconcile_pair
 
 # Literal and canonical name, in the order in which they are tried.
 METRICS = [
@@ -138,27 +139,38 @@ def contradicting_claims(claims: DataFrame, group: str) -> DataFrame:
     return joined.withColumn("gap", gates.relative_gap(F.col("value_a"), F.col("value_b")))
 
 
-def precision_gate(pairs: DataFrame, claims: DataFrame, group: str = "chunk_id", tolerance: float = 0.03) -> DataFrame:
+def precision_gate(pairs: DataFrame, claims: DataFrame, group: str = "chunk_id", tolerance: float = 0.03, other: str | None = None, universe: str | None = None) -> DataFrame:
     """(pairs' columns, keep, stage, reason, gap) of pairs (group, i, j, role_a, role_b, passed).
 
-    ``claims``: group, stmt_idx, and what ``claim_rows`` gives. A contradiction of claims keeps a pair; claims on both sides of which
-    none compare drop it; else a polarity signal decides.
+    ``claims``: group, stmt_idx, and what ``claim_rows`` gives. The first contradiction of claims, in their order, keeps a pair, unless the
+    numbers of ``universe`` (a column of ``pairs``, optional) reconcile its two values; claims on both sides of which none compare drop
+    it; else a polarity signal decides. ``other``: the column that holds the group of statement j, where pairs run across groups.
+
+    Only the keys of pairs meet the claims: two equi-joins, the second on metric, entity and unit as well.
     """
-    joined = contradicting_claims(claims, group)
-    best = joined.groupBy(group, F.col("stmt_idx_a").alias("i"), F.col("stmt_idx_b").alias("j")).agg(
-        F.min(F.when(F.col("gap") > tolerance, F.struct("ord_a", "ord_b", "gap"))).alias("first"),
-    )
+    keys = [group, "i", "j"] if other is None else [group, other, "i", "j"]
+    at_b = other or group
+    same = ("metric", "entity", "unit")
+    side = lambda g, n, x: claims.select(F.col(group).alias(g), F.col("stmt_idx").alias(n), *same, *(F.col(c).alias(f"{c}_{x}") for c in ("ord", "value", "year", "population")))
+    same_year = F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(True))
+    same_population = (F.col("population_a") == "") | (F.col("population_b") == "") | (F.col("population_a") == F.col("population_b"))
+    compared = pairs.select(*keys).join(side(group, "i", "a"), [group, "i"]).join(side(at_b, "j", "b"), [at_b, "j", *same]).where(same_year & same_population)
+    gap = gates.relative_gap(F.col("value_a"), F.col("value_b"))
+    best = compared.withColumn("gap", gap).groupBy(*keys).agg(F.min(F.when(F.col("gap") > tolerance, F.struct("ord_a", "ord_b", "gap", "value_a", "value_b"))).alias("first"), F.lit(True).alias("compared"))
     having = claims.select(group, "stmt_idx").distinct()
-    df = pairs.join(best, [group, "i", "j"], "left").withColumn("any_comparable", F.col("first").isNotNull())
-    compared = joined.select(group, F.col("stmt_idx_a").alias("i"), F.col("stmt_idx_b").alias("j")).distinct().withColumn("compared", F.lit(True))
-    df = df.join(compared, [group, "i", "j"], "left")
-    df = df.join(having.select(group, F.col("stmt_idx").alias("i"), F.lit(True).alias("has_a")), [group, "i"], "left").join(having.select(group, F.col("stmt_idx").alias("j"), F.lit(True).alias("has_b")), [group, "j"], "left")
+    has = lambda g, n, x: having.select(F.col(group).alias(g), F.col("stmt_idx").alias(n), F.lit(True).alias(x))
+    df = pairs.join(best, keys, "left").join(has(group, "i", "has_a"), [group, "i"], "left").join(has(at_b, "j", "has_b"), [at_b, "j"], "left")
     mismatch = ~gates.compatible(F.col("role_a"), F.col("role_b"))
     incomparable = F.col("has_a").isNotNull() & F.col("has_b").isNotNull() & F.col("compared").isNull()
-    stage = F.when(mismatch, "role").when(F.col("first").isNotNull(), "claim").when(incomparable, "claim").when(~F.col("passed"), "negation_gate").otherwise("all_passed")
-    reason = F.when(mismatch, "role_mismatch").when(F.col("first").isNotNull(), "claim_contradiction").when(incomparable, "no_comparable_claims").when(~F.col("passed"), "no_polarity_signal").otherwise("gates_passed")
+    relation = F.lit(None).cast("string")
+    if universe is not None:
+        relation = F.when(F.col("first").isNotNull() & (F.size(universe) > 0), reconcile_pair(F.col("first.value_a"), F.col("first.value_b"), F.col(universe)))
+    df = df.withColumn("relation", relation)
+    reconciled = F.col("relation").isNotNull()
+    stage = F.when(mismatch, "role").when(reconciled, "reconciler").when(F.col("first").isNotNull(), "claim").when(incomparable, "claim").when(~F.col("passed"), "negation_gate").otherwise("all_passed")
+    reason = F.when(mismatch, "role_mismatch").when(reconciled, F.concat(F.lit("arithmetic_reconciled: "), "relation")).when(F.col("first").isNotNull(), "claim_contradiction").when(incomparable, "no_comparable_claims").when(~F.col("passed"), "no_polarity_signal").otherwise("gates_passed")
     df = df.withColumn("stage", stage).withColumn("reason", reason).withColumn("keep", F.col("reason").isin("claim_contradiction", "gates_passed"))
-    return df.withColumn("gap", F.when(F.col("reason") == "claim_contradiction", F.col("first.gap"))).drop("first", "any_comparable", "compared", "has_a", "has_b")
+    return df.withColumn("gap", F.when(F.col("reason") == "claim_contradiction", F.col("first.gap"))).drop("first", "compared", "has_a", "has_b", "relation")
 
 
 def universe(texts: DataFrame, key: str, text: str) -> DataFrame:

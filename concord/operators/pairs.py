@@ -59,9 +59,11 @@ def one_per_section_pair(records: DataFrame, within: tuple[str, ...] = ()) -> Da
     return records.withColumn("first_seen", F.min("ord").over(w)).withColumn("place", best).where("place = 1").drop("place")
 
 
-def append_new(records: DataFrame, numeric: DataFrame) -> DataFrame:
-    """``records`` and those numeric rows whose (target, related) is not among them, in this direction only."""
-    return records.unionByName(numeric.join(records.select("target", "related").distinct(), ["target", "related"], "left_anti"), allowMissingColumns=True)
+def append_new(records: DataFrame, numeric: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """``records`` and those numeric rows whose (target, related) is not among them, in this direction only, each document (``within``)
+    by itself. A record of a section with itself counts without its suffix."""
+    taken = records.select(*within, "target", F.regexp_replace("related", r" \(same section\)", "").alias("related")).distinct()
+    return records.unionByName(numeric.join(taken, [*within, "target", "related"], "left_anti"), allowMissingColumns=True)
 
 
 def cross_pairs(statements: DataFrame, related: DataFrame, least_shared: int = 2) -> DataFrame:

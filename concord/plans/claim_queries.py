@@ -81,6 +81,13 @@ SELECT p.chunk_id, p.i, p.j, CASE WHEN g.i IS NULL THEN false WHEN f.gap IS NOT
 FROM allpairs p LEFT JOIN gated g USING (chunk_id, i, j) LEFT JOIN firsts f ON f.chunk_id = p.chunk_id AND f.i = p.i AND f.j = p.j LEFT JOIN having_ ha ON ha.chunk_id = p.chunk_id AND ha.stmt_idx = p.i LEFT JOIN having_ hb ON hb.chunk_id = p.chunk_id AND hb.stmt_idx = p.j"""
 
 
+def p14_reconciler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The precision gate with each document's numbers as the universe that may reconcile a contradiction of claims."""
+    numbers = claims.universe(sql(spark, sf_dir, STATEMENTS, "customer", "nation"), "doc_id", "statement")
+    pairs = gates.with_gate(pair_roles(spark, sf_dir)).select("doc_id", "chunk_id", "i", "j", F.col("role").alias("role_a"), F.col("role").alias("role_b"), "passed").join(numbers, "doc_id", "left")
+    return claims.precision_gate(pairs, _rows(spark, sf_dir), universe="universe").select("chunk_id", "i", "j", "keep", "stage", "reason", F.round("gap", 6).alias("gap"))
+
+
 def x18_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = claims.universe(sql(spark, sf_dir, STATEMENTS, "customer", "nation"), "doc_id", "statement")
     return found.select("doc_id", F.size("universe").alias("n"), F.aggregate("universe", F.lit(0.0), lambda t, v: t + v).alias("total"), F.element_at("universe", 1).alias("least"))
@@ -125,9 +132,24 @@ SELECT n.id, CASE WHEN {_close("a", "b", 0.02)} THEN 'rounding' WHEN list_contai
  coalesce(array_to_string(list_transform(own.p, lambda v: CAST(CAST(v AS INTEGER) AS VARCHAR)), '+'), '') AS parts, a > 0 AND b > 0 AND years > 0 AND {_close("((pow(a / b, 1.0::DOUBLE / CASE WHEN years > 0 THEN years ELSE 1 END) - 1.0::DOUBLE) * 100.0::DOUBLE)", "12.0::DOUBLE", 0.05, 0.2)} AS growth, {_close("(a - b)", "u3")} AS delta, {_close("a", "b")} AS close
 FROM n LEFT JOIN sa ON sa.id = n.id LEFT JOIN sb ON sb.id = n.id LEFT JOIN own ON own.id = n.id LEFT JOIN sh ON sh.id = n.id"""
 
-QUERIES = {"x12_x17_claims": x12_claims, "p12_p13_j4_comparable": p12_comparable, "p14_precision_gate": p14_precision_gate, "x18_universe": x18_universe, "m1_m6_reconcile": m_reconcile}
+_ALL_MASKS = ", ".join(f"({i}, [{', '.join(str(x + 1) for x in s)}])" for i, s in enumerate(reconcile.subsets()))
+RECONCILER_SQL = f"""WITH {GATE_SQL}, {CLAIMS_SQL}, {COMPARED.replace("b.ord AS ord_b,", "b.ord AS ord_b, a.value AS va, b.value AS vb,")},
+firsts AS (SELECT chunk_id, stmt_idx_a AS i, stmt_idx_b AS j, count(*) AS n, arg_min({{'g': g, 'a': va, 'b': vb}}, [CAST(ord_a AS BIGINT), ord_b]) FILTER (g > 0.03::DOUBLE) AS f FROM compared GROUP BY ALL),
+numbers AS (SELECT doc_id, list_sort(list(DISTINCT v)) AS u FROM (SELECT doc_id, TRY_CAST(trim(regexp_replace(t, '[$%,]', '', 'g')) AS DOUBLE) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(statement, {q(gates.NUMBER_OR_PERCENT)})) AS t FROM ({duck(STATEMENTS)})))
+ WHERE abs(v) >= 1 AND NOT (v BETWEEN 1900 AND 2099 AND v = floor(v)) GROUP BY doc_id),
+n AS (SELECT concat(chunk_id, '/', i, '/', j) AS id, f.a AS a, f.b AS b, u FROM firsts JOIN (SELECT DISTINCT doc_id, chunk_id FROM gated) USING (chunk_id) JOIN numbers USING (doc_id) WHERE f IS NOT NULL),
+masks(m, ix) AS (VALUES {_ALL_MASKS}), {_parts("a", "list_append(u, b)", "sa")}, {_parts("b", "list_append(u, a)", "sb")},
+sh AS (SELECT id, bool_or({_share("a", "b")} OR {_share("b", "a")}) AS share FROM (SELECT id, a, b, unnest(u) AS w FROM n) GROUP BY id),
+rel AS (SELECT n.id, CASE WHEN {_close("a", "b", 0.02)} THEN 'rounding' WHEN list_contains(sa.p, b) THEN 'sum_of_parts_a_contains_b' WHEN list_contains(sb.p, a) THEN 'sum_of_parts_b_contains_a' WHEN share THEN 'share_of_whole' END AS relation FROM n LEFT JOIN sa USING (id) LEFT JOIN sb USING (id) LEFT JOIN sh USING (id)),
+having_ AS (SELECT DISTINCT chunk_id, stmt_idx FROM claims),
+staged AS (SELECT g.chunk_id, g.i, g.j, f.f, relation, CASE WHEN relation IS NOT NULL THEN 'arithmetic_reconciled: ' || relation WHEN f.f IS NOT NULL THEN 'claim_contradiction' WHEN ha.stmt_idx IS NOT NULL AND hb.stmt_idx IS NOT NULL AND f.n IS NULL THEN 'no_comparable_claims' WHEN g.signals = '' THEN 'no_polarity_signal' ELSE 'gates_passed' END AS reason
+ FROM gated g LEFT JOIN firsts f USING (chunk_id, i, j) LEFT JOIN rel ON rel.id = concat(g.chunk_id, '/', g.i, '/', g.j) LEFT JOIN having_ ha ON ha.chunk_id = g.chunk_id AND ha.stmt_idx = g.i LEFT JOIN having_ hb ON hb.chunk_id = g.chunk_id AND hb.stmt_idx = g.j)
+SELECT chunk_id, i, j, reason IN ('claim_contradiction', 'gates_passed') AS keep, CASE reason WHEN 'claim_contradiction' THEN 'claim' WHEN 'no_comparable_claims' THEN 'claim' WHEN 'no_polarity_signal' THEN 'negation_gate' WHEN 'gates_passed' THEN 'all_passed' ELSE 'reconciler' END AS stage, reason,
+ CASE WHEN reason = 'claim_contradiction' THEN round(f.g, 6) END AS gap FROM staged"""
+
+QUERIES = {"p14_m5_reconciler": p14_reconciler, "x12_x17_claims": x12_claims, "p12_p13_j4_comparable": p12_comparable, "p14_precision_gate": p14_precision_gate, "x18_universe": x18_universe, "m1_m6_reconcile": m_reconcile}
 ORACLE_SQL = {
     "x12_x17_claims": f"WITH {CLAIMS_SQL} SELECT * FROM claims",
     "p12_p13_j4_comparable": f"WITH {CLAIMS_SQL}, {COMPARED} SELECT * EXCLUDE (g), round(g, 6) AS gap, g > 0.03::DOUBLE AS contradict FROM compared",
-    "p14_precision_gate": P14_SQL, "x18_universe": X18_SQL, "m1_m6_reconcile": M_SQL,
+    "p14_precision_gate": P14_SQL, "p14_m5_reconciler": RECONCILER_SQL, "x18_universe": X18_SQL, "m1_m6_reconcile": M_SQL,
 }

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import responses
-from ..operators import gates, pairs, reports, visual, votes
+from ..operators import claims, gates, pairs, reports, visual, votes
 from ..sources import pages, store
+from .claim_queries import CLAIMS_SQL
+from .claim_queries import _rows as claim_rows
 from .common import STATEMENTS, duck, sql, table
 from .gate_queries import GATE_SQL, _any, pair_roles, q, with_features
 from .graph_queries import SECTIONS, WRITES
@@ -24,17 +26,22 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round(pairs.logit_score(c, e, u), 9))
 
 
+def _ruled(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """The pairs that the whole precision gate (roles, claims, polarity) keeps, with their scores."""
+    narrow = gates.with_gate(df).select("doc_id", "chunk_id", "other", "i", "j", F.col("role").alias("role_a"), F.col("role").alias("role_b"), "a", "b", "passed")
+    kept = claims.precision_gate(narrow, claim_rows(spark, sf_dir), other="other").where("keep")
+    return _scored(kept).select("doc_id", "chunk_id", "other", "i", "j", "a", "b", "score")
+
+
 def _intra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gated = gates.with_gate(pair_roles(spark, sf_dir)).where("passed").where(F.arrays_overlap("fa.keywords", "fb.keywords"))
-    return _scored(gated).select("doc_id", "chunk_id", F.col("chunk_id").alias("other"), "i", "j", "a", "b", "score")
+    return _ruled(spark, sf_dir, pair_roles(spark, sf_dir).where(F.arrays_overlap("fa.keywords", "fb.keywords")).withColumn("other", F.col("chunk_id")))
 
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = with_features(spark, sf_dir)
     chunks = s.select("doc_id", "chunk_id").distinct()
     related = chunks.select("doc_id", "chunk_id", F.explode(F.array(F.col("chunk_id") + 1, F.col("chunk_id") + 2)).alias("other"))
-    gated = gates.with_gate(pairs.cross_pairs(s, related)).where("passed")
-    return _scored(gated).select("doc_id", "chunk_id", "other", "i", "j", "a", "b", "score")
+    return _ruled(spark, sf_dir, pairs.cross_pairs(s, related))
 
 
 def j1_j2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +69,15 @@ _CROSS_GATE = (
 for _name in ("pairs", "toks", "sig", "deltas", "gate", "gated"):
     _CROSS_GATE = _re.sub(rf"\b{_name} AS \(", f"x{_name} AS (", _CROSS_GATE)
     _CROSS_GATE = _re.sub(rf"(FROM|JOIN) {_name}\b", rf"\1 x{_name}", _CROSS_GATE)
-CAND_SQL = f"""{GATE_SQL}, {_CROSS_GATE}, intra AS ({_SCORED.format(f"(SELECT *, chunk_id AS other FROM gated WHERE signals <> '' AND {_SHARED_KW} >= 1)")}),
-cross_ AS ({_SCORED.format(f"(SELECT * REPLACE (j % 24 AS j) FROM xgated WHERE signals <> '' AND {_SHARED_KW} >= 2)")}),
+#: The precision gate over the pairs of both kinds.
+_RULED = """every AS (SELECT chunk_id, chunk_id AS other, i, j, signals FROM gated UNION ALL SELECT chunk_id, other, i, j % 24, signals FROM xgated),
+cmp AS (SELECT p.chunk_id, p.other, p.i, p.j, count(*) AS n, bool_or(CASE WHEN a.value = 0 AND b.value = 0 THEN false ELSE abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) > 0.03::DOUBLE END) AS contra FROM every p JOIN claims a ON a.chunk_id = p.chunk_id AND a.stmt_idx = p.i
+ JOIN claims b ON b.chunk_id = p.other AND b.stmt_idx = p.j AND a.metric = b.metric AND a.entity = b.entity AND a.unit = b.unit AND (a.year IS NULL OR b.year IS NULL OR a.year = b.year) AND (a.population = '' OR b.population = '' OR a.population = b.population) GROUP BY ALL),
+having_ AS (SELECT DISTINCT chunk_id, stmt_idx FROM claims),
+ruled AS (SELECT p.chunk_id, p.other, p.i, p.j FROM every p LEFT JOIN cmp USING (chunk_id, other, i, j) LEFT JOIN having_ ha ON ha.chunk_id = p.chunk_id AND ha.stmt_idx = p.i LEFT JOIN having_ hb ON hb.chunk_id = p.other AND hb.stmt_idx = p.j
+ WHERE CASE WHEN coalesce(contra, false) THEN true WHEN ha.stmt_idx IS NOT NULL AND hb.stmt_idx IS NOT NULL AND n IS NULL THEN false ELSE signals <> '' END)"""
+CAND_SQL = f"""{GATE_SQL}, {_CROSS_GATE}, {CLAIMS_SQL}, {_RULED}, intra AS ({_SCORED.format(f"(SELECT * FROM (SELECT *, chunk_id AS other FROM gated) SEMI JOIN ruled USING (chunk_id, other, i, j) WHERE {_SHARED_KW} >= 1)")}),
+cross_ AS ({_SCORED.format(f"(SELECT * FROM (SELECT * REPLACE (j % 24 AS j) FROM xgated) SEMI JOIN ruled USING (chunk_id, other, i, j) WHERE {_SHARED_KW} >= 2)")}),
 tops AS (SELECT * FROM (SELECT *, 0 AS is_cross, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY score DESC, i, other, j) AS place FROM intra WHERE score >= 0.40) WHERE place <= 10
  UNION ALL SELECT * FROM (SELECT *, 1, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY score DESC, i, other, j) AS place FROM cross_ WHERE score >= 0.40) WHERE place <= 10)"""
 _KEY = r"regexp_replace(lower({0}), '\s+', ' ', 'g')"
@@ -178,7 +192,7 @@ def a18_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j7_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _records(spark, sf_dir).where("ord % 2 = 0").select("doc_name", "target", "related", "confidence")
     n = _records(spark, sf_dir).where("ord % 2 = 1").select("doc_name", "target", "related", "confidence")
-    return pairs.append_new(r, n)
+    return pairs.append_new(r, n, ("doc_name",))
 
 
 def s2_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +263,7 @@ SELECT doc_name, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_name OR
     "a19_ordered": f"WITH {_recs()} SELECT doc_name, ord, {_PLACE} AS place FROM recs",
     "p21_filters": f"WITH {_recs()} SELECT doc_name, ord FROM recs WHERE severity IN ('High', 'Low') AND type = 'Direct'",
     "s8_text_report": f"WITH {_recs()}, p AS (SELECT *, {_PLACE} AS place FROM recs) SELECT doc_name, string_agg(place || '. [' || severity || '] ' || target || ' vs ' || other || ' (' || type || ', ' || confidence || '%)', chr(10) ORDER BY place) AS report FROM p GROUP BY 1",
-    "j7_append_new": f"WITH {_recs()} SELECT doc_name, target, related, confidence FROM recs WHERE ord % 2 = 0 UNION ALL SELECT doc_name, target, related, confidence FROM recs WHERE ord % 2 = 1 AND (target, related) NOT IN (SELECT (target, related) FROM recs WHERE ord % 2 = 0)",
+    "j7_append_new": f"WITH {_recs()} SELECT doc_name, target, related, confidence FROM recs WHERE ord % 2 = 0 UNION ALL SELECT doc_name, target, related, confidence FROM recs WHERE ord % 2 = 1 AND (doc_name, target, related) NOT IN (SELECT (doc_name, target, replace(related, ' (same section)', '')) FROM recs WHERE ord % 2 = 0)",
     "s2_images": """WITH i AS (SELECT l_orderkey AS page, l_linenumber AS ordinal, l_partkey AS xref, l_suppkey * 40 AS width, CAST(floor(l_quantity * 9) AS INTEGER) AS height, md5(l_suppkey || '-' || CAST(floor(l_quantity * 9) AS INTEGER)) AS digest FROM lineitem), c AS (SELECT xref FROM i GROUP BY 1 HAVING count(*) >= 30)
 SELECT page, ordinal, xref, digest FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page, ordinal) AS place FROM i WHERE xref NOT IN (SELECT xref FROM c) AND least(width, height) >= 150 AND greatest(width, height) <= 8.0::DOUBLE * least(width, height)) WHERE place = 1""",
     "s6_keys": "SELECT DISTINCT source AS doc_name, 'doc_' || left(md5(source), 12) AS doc_key FROM documents",
