@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.positions import let
+
 MOST_PARTS, MOST_CANDIDATES = 6, 10
 
 
@@ -25,11 +27,14 @@ def subsets(n: int = MOST_CANDIDATES) -> list[list[int]]:
 def parts_of(target: Column, universe: Column, relative: float = 0.03) -> Column:
     """M2, M6: the first subset (by size, then order) of the first ten candidates below 1.2 times the target whose sum is close
     to it; null if none. All index sets are one literal, so no rows are multiplied."""
-    candidates = F.slice(F.filter(universe, lambda v: (v > 0) & (v < target * 1.2)), 1, MOST_CANDIDATES)
-    usable = F.get(F.from_json(F.lit(json.dumps([subsets(n) for n in range(MOST_CANDIDATES + 1)])), "array<array<array<int>>>"), F.size(candidates))
-    picked = F.transform(usable, lambda s: F.transform(s, lambda i: F.get(candidates, i)))
     total = lambda p: F.aggregate(p, F.lit(0.0), lambda t, v: t + v)
-    return F.get(F.filter(picked, lambda p: close(total(p), target, relative)), F.lit(0))
+
+    def first(candidates: Column) -> Column:
+        usable = F.get(F.from_json(F.lit(json.dumps([subsets(n) for n in range(MOST_CANDIDATES + 1)])), "array<array<array<int>>>"), F.size(candidates))
+        picked = F.transform(usable, lambda s: F.transform(s, lambda i: F.get(candidates, i)))
+        return F.get(F.filter(picked, lambda p: let(total(p), lambda t: close(t, target, relative))), F.lit(0))
+
+    return let(F.slice(F.filter(universe, lambda v: (v > 0) & (v < target * 1.2)), 1, MOST_CANDIDATES), first)
 
 
 def share_of_whole(part: Column, whole: Column, percent: Column, relative: float = 0.03) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import responses
-from ..operators import claims, gates, pairs, reports, visual, votes
+from ..operators import claims, gates, pairs, reconcile, reports, visual, votes
 from ..sources import pages, store
-from .claim_queries import CLAIMS_SQL
+from .claim_queries import CLAIMS_SQL, _close, _parts, _share
 from .claim_queries import _rows as claim_rows
 from .common import STATEMENTS, duck, sql, table
 from .gate_queries import GATE_SQL, _any, pair_roles, q, with_features
@@ -37,11 +37,23 @@ def _intra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ruled(spark, sf_dir, pair_roles(spark, sf_dir).where(F.arrays_overlap("fa.keywords", "fb.keywords")).withColumn("other", F.col("chunk_id")))
 
 
-def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = with_features(spark, sf_dir)
     chunks = s.select("doc_id", "chunk_id").distinct()
     related = chunks.select("doc_id", "chunk_id", F.explode(F.array(F.col("chunk_id") + 1, F.col("chunk_id") + 2)).alias("other"))
-    return _ruled(spark, sf_dir, pairs.cross_pairs(s, related))
+    return pairs.cross_pairs(s, related)
+
+
+def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ruled(spark, sf_dir, _cross_pairs(spark, sf_dir))
+
+
+def p14_reconciler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The precision gate across chunks, with each document's numbers as the universe that may reconcile a contradiction of claims."""
+    numbers = claims.universe(sql(spark, sf_dir, STATEMENTS, "customer", "nation"), "doc_id", "statement")
+    narrow = gates.with_gate(_cross_pairs(spark, sf_dir)).select("doc_id", "chunk_id", "other", "i", "j", F.col("role").alias("role_a"), F.col("role").alias("role_b"), "passed")
+    found = claims.precision_gate(narrow.join(numbers, "doc_id", "left"), claim_rows(spark, sf_dir), other="other", universe="universe")
+    return found.select("chunk_id", "other", "i", "j", "keep", "stage", "reason", F.round("gap", 6).alias("gap"))
 
 
 def j1_j2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +92,22 @@ CAND_SQL = f"""{GATE_SQL}, {_CROSS_GATE}, {CLAIMS_SQL}, {_RULED}, intra AS ({_SC
 cross_ AS ({_SCORED.format(f"(SELECT * FROM (SELECT * REPLACE (j % 24 AS j) FROM xgated) SEMI JOIN ruled USING (chunk_id, other, i, j) WHERE {_SHARED_KW} >= 2)")}),
 tops AS (SELECT * FROM (SELECT *, 0 AS is_cross, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY score DESC, i, other, j) AS place FROM intra WHERE score >= 0.40) WHERE place <= 10
  UNION ALL SELECT * FROM (SELECT *, 1, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY score DESC, i, other, j) AS place FROM cross_ WHERE score >= 0.40) WHERE place <= 10)"""
+_COMPARABLE = "a.metric = b.metric AND a.entity = b.entity AND a.unit = b.unit AND (a.year IS NULL OR b.year IS NULL OR a.year = b.year) AND (a.population = '' OR b.population = '' OR a.population = b.population)"
+_ALL_MASKS = ", ".join(f"({i}, [{', '.join(str(x + 1) for x in s)}])" for i, s in enumerate(reconcile.subsets()))
+RECONCILER_SQL = f"""WITH {GATE_SQL}, {_CROSS_GATE}, {CLAIMS_SQL}, px AS (SELECT doc_id, chunk_id, other, i, j % 24 AS j, signals FROM xgated WHERE {_SHARED_KW} >= 2),
+firsts AS (SELECT p.doc_id, p.chunk_id, p.other, p.i, p.j, count(*) AS n, arg_min({{'g': g, 'a': va, 'b': vb}}, [oa, ob]) FILTER (g > 0.03::DOUBLE) AS f FROM (SELECT p.*, a.value AS va, b.value AS vb, CAST(a.ord AS BIGINT) AS oa, CAST(b.ord AS BIGINT) AS ob, CASE WHEN a.value = 0 AND b.value = 0 THEN 0.0::DOUBLE ELSE abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) END AS g
+ FROM px p JOIN claims a ON a.chunk_id = p.chunk_id AND a.stmt_idx = p.i JOIN claims b ON b.chunk_id = p.other AND b.stmt_idx = p.j AND {_COMPARABLE}) p GROUP BY ALL),
+numbers AS (SELECT doc_id, list_sort(list(DISTINCT v)) AS u FROM (SELECT doc_id, TRY_CAST(trim(regexp_replace(t, '[$%,]', '', 'g')) AS DOUBLE) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(statement, {q(gates.NUMBER_OR_PERCENT)})) AS t FROM ({duck(STATEMENTS)})))
+ WHERE abs(v) >= 1 AND NOT (v BETWEEN 1900 AND 2099 AND v = floor(v)) GROUP BY doc_id),
+n AS (SELECT concat_ws('/', chunk_id, other, i, j) AS id, f.a AS a, f.b AS b, u FROM firsts JOIN numbers USING (doc_id) WHERE f IS NOT NULL),
+masks(m, ix) AS (VALUES {_ALL_MASKS}), {_parts("a", "list_append(u, b)", "sa")}, {_parts("b", "list_append(u, a)", "sb")},
+sh AS (SELECT id, bool_or({_share("a", "b")} OR {_share("b", "a")}) AS share FROM (SELECT id, a, b, unnest(u) AS w FROM n) GROUP BY id),
+rel AS (SELECT n.id, CASE WHEN {_close("a", "b", 0.02)} THEN 'rounding' WHEN list_contains(sa.p, b) THEN 'sum_of_parts_a_contains_b' WHEN list_contains(sb.p, a) THEN 'sum_of_parts_b_contains_a' WHEN share THEN 'share_of_whole' END AS relation FROM n LEFT JOIN sa USING (id) LEFT JOIN sb USING (id) LEFT JOIN sh USING (id)),
+having_ AS (SELECT DISTINCT chunk_id, stmt_idx FROM claims),
+staged AS (SELECT p.chunk_id, p.other, p.i, p.j, f.f.g AS gap, CASE WHEN relation IS NOT NULL THEN 'arithmetic_reconciled: ' || relation WHEN f.f IS NOT NULL THEN 'claim_contradiction' WHEN ha.stmt_idx IS NOT NULL AND hb.stmt_idx IS NOT NULL AND f.n IS NULL THEN 'no_comparable_claims' WHEN p.signals = '' THEN 'no_polarity_signal' ELSE 'gates_passed' END AS reason
+ FROM px p LEFT JOIN firsts f USING (chunk_id, other, i, j) LEFT JOIN rel ON rel.id = concat_ws('/', p.chunk_id, p.other, p.i, p.j) LEFT JOIN having_ ha ON ha.chunk_id = p.chunk_id AND ha.stmt_idx = p.i LEFT JOIN having_ hb ON hb.chunk_id = p.other AND hb.stmt_idx = p.j)
+SELECT chunk_id, other, i, j, reason IN ('claim_contradiction', 'gates_passed') AS keep, CASE reason WHEN 'claim_contradiction' THEN 'claim' WHEN 'no_comparable_claims' THEN 'claim' WHEN 'no_polarity_signal' THEN 'negation_gate' WHEN 'gates_passed' THEN 'all_passed' ELSE 'reconciler' END AS stage, reason,
+ CASE WHEN reason = 'claim_contradiction' THEN round(gap, 6) END AS gap FROM staged"""
 _KEY = r"regexp_replace(lower({0}), '\s+', ' ', 'g')"
 _DIG = r"list_sort(list_distinct(regexp_extract_all(lower({0}), '\d+')))"
 _TYPE = rf"""CASE WHEN regexp_matches(c, '\d+[%$]?\s') AND len({_DIG.format("a")}) > 0 AND len({_DIG.format("b")}) > 0 AND {_DIG.format("a")} <> {_DIG.format("b")} THEN 'Numerical' WHEN {_any("c", gates.TEMPORAL)} THEN 'Temporal'
@@ -226,7 +254,7 @@ QUERIES = {
     "a11_severity_counts": lambda s, d: reports.severity_counts(_records(s, d)), "a12_type_counts": lambda s, d: reports.type_counts(_records(s, d)), "a13_histogram": lambda s, d: reports.confidence_histogram(_records(s, d)), "a14_heatmap_matrix": a14_heatmap,
     "a15_section_risk": lambda s, d: reports.section_risk(_records(s, d)), "a16_network": lambda s, d: reports.network(_records(s, d), sql(s, d, SECTION_IDS, "supplier")), "a17_cross_modal": lambda s, d: reports.cross_modal(_records(s, d)), "a18_statistics": a18_statistics,
     "a19_ordered": lambda s, d: reports.ordered(_records(s, d)).select("doc_name", "ord", "place"), "p21_filters": lambda s, d: reports.filtered(_records(s, d), ["High", "Low"], ["Direct"]).select("doc_name", "ord"), "s8_text_report": lambda s, d: reports.text_report(_records(s, d)),
-    "j7_append_new": j7_append, "s2_images": s2_images, "s6_keys": s6_keys, "p22_x22_parameters": p22_parameters,
+    "p14_m5_reconciler": p14_reconciler, "j7_append_new": j7_append, "s2_images": s2_images, "s6_keys": s6_keys, "p22_x22_parameters": p22_parameters,
 }
 ORACLE_SQL = {
     "j1_j2_a1_a2_candidates": f"WITH {CAND_SQL} SELECT doc_id, chunk_id, other, i, j, score, place FROM tops",
@@ -263,7 +291,7 @@ SELECT doc_name, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_name OR
     "a19_ordered": f"WITH {_recs()} SELECT doc_name, ord, {_PLACE} AS place FROM recs",
     "p21_filters": f"WITH {_recs()} SELECT doc_name, ord FROM recs WHERE severity IN ('High', 'Low') AND type = 'Direct'",
     "s8_text_report": f"WITH {_recs()}, p AS (SELECT *, {_PLACE} AS place FROM recs) SELECT doc_name, string_agg(place || '. [' || severity || '] ' || target || ' vs ' || other || ' (' || type || ', ' || confidence || '%)', chr(10) ORDER BY place) AS report FROM p GROUP BY 1",
-    "j7_append_new": f"WITH {_recs()} SELECT doc_name, target, related, confidence FROM recs WHERE ord % 2 = 0 UNION ALL SELECT doc_name, target, related, confidence FROM recs WHERE ord % 2 = 1 AND (doc_name, target, related) NOT IN (SELECT (doc_name, target, replace(related, ' (same section)', '')) FROM recs WHERE ord % 2 = 0)",
+    "p14_m5_reconciler": RECONCILER_SQL, "j7_append_new": f"WITH {_recs()} SELECT doc_name, target, related, confidence FROM recs WHERE ord % 2 = 0 UNION ALL SELECT doc_name, target, related, confidence FROM recs WHERE ord % 2 = 1 AND (doc_name, target, related) NOT IN (SELECT (doc_name, target, replace(related, ' (same section)', '')) FROM recs WHERE ord % 2 = 0)",
     "s2_images": """WITH i AS (SELECT l_orderkey AS page, l_linenumber AS ordinal, l_partkey AS xref, l_suppkey * 40 AS width, CAST(floor(l_quantity * 9) AS INTEGER) AS height, md5(l_suppkey || '-' || CAST(floor(l_quantity * 9) AS INTEGER)) AS digest FROM lineitem), c AS (SELECT xref FROM i GROUP BY 1 HAVING count(*) >= 30)
 SELECT page, ordinal, xref, digest FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page, ordinal) AS place FROM i WHERE xref NOT IN (SELECT xref FROM c) AND least(width, height) >= 150 AND greatest(width, height) <= 8.0::DOUBLE * least(width, height)) WHERE place = 1""",
     "s6_keys": "SELECT DISTINCT source AS doc_name, 'doc_' || left(md5(source), 12) AS doc_key FROM documents",
