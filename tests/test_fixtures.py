@@ -229,3 +229,26 @@ def test_streamed_statements(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [tuple(r) for r in spark.sql("SELECT doc_id, stmt_idx, statement FROM streamed").collect()] == [(1, 0, "This is one long statement.")]
+
+
+def test_numeric_rows_are_compared_inside_their_document(spark):
+    """The same pair of another document deletes nothing; a record of a section with itself counts without its suffix."""
+    schema = "doc string, target string, related string"
+    known = spark.createDataFrame([("d1", "Section 3", "Section 7"), ("d1", "Section 2", "Section 2 (same section)")], schema)
+    numeric = spark.createDataFrame([("d1", "Section 3", "Section 7"), ("d2", "Section 3", "Section 7"), ("d1", "Section 2", "Section 2"), ("d1", "Section 7", "Section 3")], schema)
+    added = {tuple(r) for r in pairs.append_new(known, numeric, ("doc",)).collect()} - {tuple(r) for r in known.collect()}
+    assert added == {("d2", "Section 3", "Section 7"), ("d1", "Section 7", "Section 3")}
+
+
+def test_gate_reconciles_the_first_contradiction(spark):
+    """P14 with M5: numbers of the document that add up clear a contradiction, others don't; without a universe it stays."""
+    texts = ["Public cloud spend reached $60 million in 2023.", "Public cloud spend reached $25 million in 2023."]
+    statements = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "chunk_id int, stmt_idx int, statement string")
+    rows = claims.claim_rows(statements, "chunk_id", "stmt_idx")
+    pair = "chunk_id int, i int, j int, role_a string, role_b string, passed boolean, u array<double>"
+    reasons = []
+    for numbers in ([20.0, 15.0], [7.0, 9.0]):
+        given = spark.createDataFrame([(0, 0, 1, "claim", "claim", True, numbers)], pair)
+        reasons.append(claims.precision_gate(given, rows, universe="u").first().reason)
+    reasons.append(claims.precision_gate(given, rows).first().reason)
+    assert reasons == ["arithmetic_reconciled: sum_of_parts_a_contains_b", "claim_contradiction", "claim_contradiction"]
