@@ -30,11 +30,9 @@ def sql(spark: SparkSession, sf_dir: str, query: str, *names: str) -> DataFrame:
 
 #: Pages of one document for each source, with a running header and page numbers.
 PAGES = "SELECT source AS doc, doc_id AS page_no, concat('Plant Manual Page ', CAST(doc_id % 90 + 1 AS VARCHAR(9)), chr(10), text, chr(10), CAST(doc_id % 900 AS VARCHAR(9))) AS page_text FROM {documents}"
-#: Documents whose sentences are paragraphs, every fifth with numbered headings.
-PARAGRAPHS = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat('1. Intake ', substr(text, 1, 400), chr(10), '2. Storage ', substr(text, 401, 700), chr(10), '2.1 Release ', substr(text, 1101, 900), chr(10), '3 Review:', chr(10), substr(text, 2001, 100))
+#: Documents whose sentences are paragraphs, every fifth with numbered headings; the last section holds all text from character 2,001 on.
+WHOLE_PARAGRAPHS = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat('1. Intake ', substr(text, 1, 400), chr(10), '2. Storage ', substr(text, 401, 700), chr(10), '2.1 Release ', substr(text, 1101, 900), chr(10), '3 Review:', chr(10), replace(substr(text, 2001), '. ', concat('.', chr(10), chr(10))))
 ELSE replace(text, '. ', concat('.', chr(10), chr(10))) END AS text FROM {documents}"""
-#: PARAGRAPHS without its cuts: the last section holds all text from character 2,001 on, in paragraphs as well.
-WHOLE_PARAGRAPHS = PARAGRAPHS.replace("substr(text, 2001, 100)", "replace(substr(text, 2001), '. ', concat('.', chr(10), chr(10)))")
 #: Statements of all kinds that the rules know, made from customers; 24 to a chunk, 240 to a document.
 STATEMENTS = """SELECT CAST(floor(c_custkey / 240) AS BIGINT) AS doc_id, CAST(floor(c_custkey / 24) AS BIGINT) AS chunk_id, c_custkey % 24 AS stmt_idx,
 CASE c_custkey % 24

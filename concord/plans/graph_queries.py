@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,10 +72,10 @@ def g15_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.compare(e, "doc0", "doc1")
 
 
-def g2_resolve(spark: SparkSession, sf_dir: str, every: int = 3) -> DataFrame:
-    """Quotes of statements, cut to 200 characters, back to the first statement that contains their first 80. ``every``: 1 for all statements."""
+def g2_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of all statements, cut to 200 characters, back to the first statement that contains their first 80."""
     rows = sql(spark, sf_dir, STATEMENTS, "customer", "nation").withColumn("doc_name", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    quotes = rows.where(F.col("stmt_idx") % every == 0).select("doc_name", (F.col("chunk_id") * 24 + F.col("stmt_idx")).alias("quote_id"), F.substring("statement", 1, 200).alias("quote"))
+    quotes = rows.select("doc_name", (F.col("chunk_id") * 24 + F.col("stmt_idx")).alias("quote_id"), F.substring("statement", 1, 200).alias("quote"))
     return graph.resolve(quotes, rows.select("doc_name", "chunk_id", "stmt_idx", "statement")).select("doc_name", "quote_id", "chunk_id", "stmt_idx")
 
 
@@ -86,7 +84,7 @@ MENTIONS_SQL = f"mentions AS (SELECT 'doc' || doc_id AS doc_name, 'Section ' ||
 QUERIES = {
     "g3_section_totals": g3_totals, "g4_last_written": edges, "g6_open_triangles": lambda s, d: graph.open_triangles(edges(s, d)), "g7_entity_clusters": g7_clusters, "g8_g17_nodes": lambda s, d: graph.nodes(sections(s, d), edges(s, d)), "g9_stats": g9_stats,
     "g10_chains": lambda s, d: graph.chains(edges(s, d)), "g11_loops": lambda s, d: graph.loops(edges(s, d)), "g12_hotspots": lambda s, d: graph.hotspots(edges(s, d)).withColumn("avg_confidence", F.round("avg_confidence", 6)), "g13_transitive_risk": g13_risk,
-    "g14_summary": lambda s, d: graph.summary(sections(s, d), edges(s, d)), "g15_compare": g15_compare, "g16_documents": lambda s, d: sections(s, d).select("doc_name").distinct().where("doc_name != ''"), "g17_undirected": g17_edges, "x19_mentions": x19_mentions, "g2_j10_resolve": g2_resolve,
+    "g14_summary": lambda s, d: graph.summary(sections(s, d), edges(s, d)), "g15_compare": g15_compare, "g16_documents": lambda s, d: sections(s, d).select("doc_name").distinct().where("doc_name != ''"), "g17_undirected": g17_edges, "x19_mentions": x19_mentions, "g2_j10_resolve_all": g2_resolve,
 }
 ORACLE_SQL = {
     "g3_section_totals": f"WITH {EDGES_SQL} SELECT doc_name, src, dst, count(*) AS n, max(confidence) / 100.0::DOUBLE AS max_score, string_agg(type, ',' ORDER BY edge_ord) AS types FROM writes GROUP BY ALL",
@@ -105,8 +103,5 @@ ORACLE_SQL = {
     "g16_documents": f"WITH {EDGES_SQL} SELECT DISTINCT doc_name FROM sections WHERE doc_name <> ''",
     "g17_undirected": f"WITH {EDGES_SQL} SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY doc_name, least(src, dst), greatest(src, dst) ORDER BY confidence DESC, edge_ord) AS place FROM edges) WHERE place = 1",
     "x19_mentions": f"WITH {MENTIONS_SQL} SELECT doc_name, src, entity, count(*) AS n FROM mentions GROUP BY ALL",
-    "g2_j10_resolve": f"WITH s AS (SELECT 'doc' || doc_id AS doc_name, chunk_id, stmt_idx, statement FROM ({duck(STATEMENTS)})) SELECT doc_name, quote_id, chunk_id, stmt_idx FROM (SELECT a.doc_name, a.chunk_id * 24 + a.stmt_idx AS quote_id, b.chunk_id, b.stmt_idx, row_number() OVER (PARTITION BY a.doc_name, a.chunk_id, a.stmt_idx ORDER BY b.chunk_id, b.stmt_idx) AS place FROM s a JOIN s b ON a.doc_name = b.doc_name AND contains(b.statement, left(a.statement, 80)) WHERE a.stmt_idx % 3 = 0) WHERE place = 1",
+    "g2_j10_resolve_all": f"WITH s AS (SELECT 'doc' || doc_id AS doc_name, chunk_id, stmt_idx, statement FROM ({duck(STATEMENTS)})) SELECT doc_name, quote_id, chunk_id, stmt_idx FROM (SELECT a.doc_name, a.chunk_id * 24 + a.stmt_idx AS quote_id, b.chunk_id, b.stmt_idx, row_number() OVER (PARTITION BY a.doc_name, a.chunk_id, a.stmt_idx ORDER BY b.chunk_id, b.stmt_idx) AS place FROM s a JOIN s b ON a.doc_name = b.doc_name AND contains(b.statement, left(a.statement, 80))) WHERE place = 1",
 }
-#: g2_j10_resolve again, over the quotes of all statements.
-QUERIES["g2_j10_resolve_all"] = partial(g2_resolve, every=1)
-ORACLE_SQL["g2_j10_resolve_all"] = ORACLE_SQL["g2_j10_resolve"].replace(" WHERE a.stmt_idx % 3 = 0", "")

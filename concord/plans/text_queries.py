@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..operators import chunking
-from .common import PAGES, PARAGRAPHS, WHOLE_PARAGRAPHS, duck, spread, sql, table
+from .common import PAGES, WHOLE_PARAGRAPHS, duck, spread, sql, table
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -34,28 +32,28 @@ def t3_strip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.strip_pages(sql(spark, sf_dir, PAGES, "documents")).select("doc", "page_no", F.length("page_text").alias("n"), F.md5("page_text").alias("digest"))
 
 
-def t4_t8_headings(spark: SparkSession, sf_dir: str, texts: str = PARAGRAPHS) -> DataFrame:
-    df = sql(spark, sf_dir, texts, "documents")
+def t4_t8_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sql(spark, sf_dir, WHOLE_PARAGRAPHS, "documents")
     return df.select("doc_id", tx.heading(F.col("text")).alias("heading"), tx.low_information(F.col("text")).alias("low_information"), tx.is_meta(F.col("text")).alias("meta"))
 
 
-T48_SQL = f"""WITH d AS ({duck(PARAGRAPHS)}), s AS (SELECT doc_id, text, {strip("text")} AS s, trim(string_split({strip("text")}, chr(10))[1], ' ') AS f FROM d)
+T48_SQL = f"""WITH d AS ({duck(WHOLE_PARAGRAPHS)}), s AS (SELECT doc_id, text, {strip("text")} AS s, trim(string_split({strip("text")}, chr(10))[1], ' ') AS f FROM d)
 SELECT doc_id, CASE WHEN length(f) < 60 AND ((upper(f) = f AND lower(f) <> f) OR regexp_matches(f, '^\\d+[.\\d]*\\s+[0-9A-Za-z_]') OR suffix(f, ':')) THEN f END AS heading,
  length(s) < 200 OR len(regexp_extract_all(s, '[A-Z][^.!?]{{15,}}[.!?]')) < 2 OR len(regexp_extract_all(s, '(?im)(?:table of contents|^\\s*\\d+\\.\\s+[A-Z][^\\n]{{3,60}}\\s*\\.{{3,}}\\s*\\d+\\s*$)')) >= 3
  OR (length(regexp_replace(s, '[^\\p{{Lu}}]', '', 'g')) / greatest(1, length(s)) > 0.35 AND len(regexp_extract_all(s, '[.!?;:]')) < 5) AS low_information,
  regexp_matches(text, '(?i){"|".join(lx.META)}') AS meta FROM s"""
 
 
-def _chunks(spark: SparkSession, sf_dir: str, texts: str) -> DataFrame:
-    return chunking.chunk(sql(spark, sf_dir, texts, "documents"))
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(sql(spark, sf_dir, WHOLE_PARAGRAPHS, "documents"))
 
 
-def t5_t7_chunks(spark: SparkSession, sf_dir: str, texts: str = PARAGRAPHS) -> DataFrame:
-    return _chunks(spark, sf_dir, texts).select("doc_id", "ord", F.length("text").alias("n"), F.md5("text").alias("digest"))
+def t5_t7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select("doc_id", "ord", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 _UNIFIED = r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')"
-CHUNKS_SQL = f"""d AS ({duck(PARAGRAPHS)}),
+CHUNKS_SQL = f"""d AS ({duck(WHOLE_PARAGRAPHS)}),
 parts AS (SELECT doc_id, unnest(range(len(p))) AS part, unnest(p) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_UNIFIED}, '\\n(\\d+[.\\d]*\\s+[A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda x: {strip("x")}), lambda x: x <> '') AS p FROM d)),
 folds AS (
  SELECT doc_id, part, text, length(text) > 1000 AS long, 80 AS least, chr(10) AS sep FROM parts
@@ -74,8 +72,8 @@ chosen AS (SELECT f.doc_id, len(coalesce(h.c, [])) >= 3 AS by_heading, CASE WHEN
 chunks AS (SELECT doc_id, k - 1 AS ord, CASE WHEN by_heading OR k = 1 THEN c[k] ELSE {strip("right(c[k - 1], 200)")} || ' … ' || c[k] END AS text FROM chosen, unnest(range(1, len(c) + 1)) AS r(k))"""
 
 
-def t9_labels(spark: SparkSession, sf_dir: str, texts: str = PARAGRAPHS) -> DataFrame:
-    return chunking.label(_chunks(spark, sf_dir, texts)).select("doc_id", "id", "label", "display", "heading", F.length("text").alias("n"))
+def t9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.label(_chunks(spark, sf_dir)).select("doc_id", "id", "label", "display", "heading", F.length("text").alias("n"))
 
 
 T9_SQL = f"""WITH RECURSIVE {CHUNKS_SQL}, s AS (SELECT doc_id, ord, text, {strip("text")} AS s, trim(string_split({strip("text")}, chr(10))[1], ' ') AS f FROM chunks),
@@ -139,18 +137,14 @@ def s1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 S1_SQL = rf"""SELECT page_id, length(t)::INTEGER AS n, md5(t) AS digest FROM (SELECT page_id, {strip(r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g')")} AS t FROM pages)"""
 
 QUERIES = {
-    "t2_running_lines": t2_running_lines, "t3_strip_pages": t3_strip_pages, "t4_t8_t11_headings": t4_t8_headings, "t5_t7_chunks": t5_t7_chunks, "t9_labels": t9_labels,
+    "t2_running_lines": t2_running_lines, "t3_strip_pages": t3_strip_pages, "t4_t8_t11_headings_whole": t4_t8_headings, "t5_t7_chunks_whole": t5_t7_chunks, "t9_labels_whole": t9_labels,
     "t10_statements": t10_statements, "t12_sentences": t12_sentences, "t13_t18_tokens": t13_t18_tokens, "s1_page_text": s1_page_text,
 }
 ORACLE_SQL = {
     "t2_running_lines": f"WITH {LINES} SELECT doc, key, n FROM running",
     "t3_strip_pages": rf"""WITH {LINES} SELECT doc, page_no, length(t)::INTEGER AS n, md5(t) AS digest FROM (SELECT p.doc, p.page_no, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS t FROM pages p
  LEFT JOIN (SELECT l.* FROM lines l LEFT JOIN running r USING (doc, key) WHERE r.key IS NULL AND NOT regexp_matches(line, '{tx.NOISE_LINE}')) l USING (doc, page_no) GROUP BY ALL)""",
-    "t4_t8_t11_headings": T48_SQL,
-    "t5_t7_chunks": f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, ord::INTEGER AS ord, length(text)::INTEGER AS n, md5(text) AS digest FROM chunks",
-    "t9_labels": T9_SQL, "t10_statements": STATEMENTS_SQL, "t12_sentences": T12_SQL, "t13_t18_tokens": T13_SQL, "s1_page_text": S1_SQL,
+    "t4_t8_t11_headings_whole": T48_SQL,
+    "t5_t7_chunks_whole": f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, ord::INTEGER AS ord, length(text)::INTEGER AS n, md5(text) AS digest FROM chunks",
+    "t9_labels_whole": T9_SQL, "t10_statements": STATEMENTS_SQL, "t12_sentences": T12_SQL, "t13_t18_tokens": T13_SQL, "s1_page_text": S1_SQL,
 }
-#: The three queries over PARAGRAPHS again, over whole texts.
-for _name in ("t4_t8_t11_headings", "t5_t7_chunks", "t9_labels"):
-    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], texts=WHOLE_PARAGRAPHS)
-    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(duck(PARAGRAPHS), duck(WHOLE_PARAGRAPHS))
