@@ -17,7 +17,7 @@ candidate for component_id (null if no other is in the component); repeated rows
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -178,10 +178,10 @@ def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, fingerprints: Callable[..., DataFrame] = fingerprints, links: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """``documents``, same columns, with one row of each group of near-duplicates: that of the smallest doc_id.
 
-    Rows go by 128 bits of hash over all their columns. Of several rows with the group's smallest doc_id (or of rows without
+    ``fingerprints`` and ``links`` say what links, here this module's. Rows go by 128 bits of hash over all their columns. Of several rows with the group's smallest doc_id (or of rows without
     one, if the group has no other) the one of the smallest hash stays. Before the last join, which carries texts, only
     hashes and fingerprints are shuffled.
     """
