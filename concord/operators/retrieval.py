@@ -39,9 +39,13 @@ def dense_scores(distances_: DataFrame) -> DataFrame:
     return distances_.withColumn("dense", (n - (F.row_number().over(w.orderBy("distance", "id")) - 1)) / n)
 
 
-def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): one row per document and term."""
-    words = texts.select(key, tx.bm25_tokens(F.col(text)).alias("w"))
+def tokenised(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w): the tokens of each document, dealt by key, so that all that is counted by document needs no further shuffle."""
+    return texts.select(key, tx.bm25_tokens(F.col(text)).alias("w")).repartition(F.col(key))
+
+
+def postings(words: DataFrame, key: str) -> DataFrame:
+    """(key, length, term, tf) of ``tokenised`` texts: one row per document and term."""
     return words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
@@ -58,12 +62,15 @@ def bm25(queries: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame
 
     ``queries``: query_id, query_text. Joins are on terms, so only shared terms are ever paired.
     """
-    posted = postings(texts, key, text)
-    size = texts.select(F.size(tx.bm25_tokens(F.col(text))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    words = tokenised(texts, key, text)
+    posted = postings(words, key)
+    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean_length"))
     asked = queries.select("query_id", F.explode(tx.bm25_tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = posted.join(term_weights(posted, size), "term").crossJoin(F.broadcast(size.select("mean_length")))
+    wanted = asked.select("term").distinct()
+    weights = term_weights(posted, size).join(wanted, "term", "left_semi")
+    hits = posted.join(wanted, "term", "left_semi").crossJoin(F.broadcast(size.select("mean_length")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return weighted.join(asked, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    return hits.join(weights, "term").join(asked, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
 def normalised(scores: DataFrame) -> DataFrame:
