@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..functions import text as tx
 from ..operators import gates
 from .common import PAIRS, STATEMENTS, duck, spread, sql, table
 from .text_queries import CONCEPTS_SQL, KEYWORDS_SQL, strip
@@ -101,8 +102,12 @@ gated AS (SELECT *, array_to_string(list_filter([CASE WHEN neg_side <> '' THEN '
 
 
 def p5_p15_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return sql(spark, sf_dir, PAIRS, "customer", "nation").select("chunk_id", "i", "j", gates.topical_overlap(a, b).alias("keywords"), gates.shared_concepts(a, b).alias("concepts"), gates.contradiction_type(a, b).alias("type"))
+    """Pairs of statements of a chunk. Keywords and concepts are found once for each statement, which both sides read from one exchange."""
+    own = sql(spark, sf_dir, STATEMENTS, "customer", "nation").select("chunk_id", "stmt_idx", "statement", tx.keywords(F.col("statement")).alias("keywords"), tx.concept_tokens(F.col("statement")).alias("concepts")).repartition("chunk_id")
+    side = lambda x, place: own.select("chunk_id", F.col("stmt_idx").alias(place), F.col("statement").alias(x), F.col("keywords").alias(f"keywords_{x}"), F.col("concepts").alias(f"concepts_{x}"))
+    pairs = side("a", "i").join(side("b", "j"), "chunk_id").where("i < j")
+    common = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b")).alias(c)
+    return pairs.select("chunk_id", "i", "j", common("keywords"), common("concepts"), gates.contradiction_type(F.col("a"), F.col("b")).alias("type"))
 
 
 def _any(x: str, words: list[str]) -> str:
