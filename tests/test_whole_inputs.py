@@ -26,3 +26,10 @@ def test_every_statement_is_resolved(spark):
     rows = catalogue.QUERIES["g2_j10_resolve_all"](spark, SF).collect()
     assert len(rows) == common.sql(spark, SF, common.STATEMENTS, "customer", "nation").count()
     assert {r.quote_id % 24 for r in rows} == set(range(24))
+
+
+def test_numeric_claims_are_found_once(spark):
+    df = catalogue.QUERIES["j3_numeric_contradictions"](spark, "/root/testdata/sf0.01")
+    assert df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
