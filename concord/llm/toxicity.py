@@ -7,7 +7,7 @@ hashed to ``BUCKETS``. The score of a set of terms x is
 
 so pairs of terms (an insult with a group mention) count beyond their own weights. The machine has the terms that are
 associated with the label in the training rows, by themselves (chi-square) or in the company of another term (chi-square within the
-documents that hold one of the strongest terms, as Mantel and Haenszel combine it): a term that means something only in a pair is no worse
+documents that hold one of the terms that go with label 1 by themselves, as Mantel and Haenszel combine it): a term that means something only in a pair is no worse
 off than one that always does. Their number has no cap but ``BUCKETS``. The machine is fitted on the driver by AdaGrad from at most ``TRAIN_DOCS``
 labelled documents, those of smallest hash of doc_id. Labels, lang, source and doc_id are no inputs. Equal sets of terms with
 equal labels are learnt from once, as a text that was copied a thousand times is one piece of evidence.
@@ -43,8 +43,8 @@ THRESHOLD = 0.7
 LEAST_DOCS = 5
 #: The chi-square it reaches by itself: this share of the training documents, within bounds.
 CHI2_SHARE, CHI2_BOUNDS = 1 / 80, (15.0, 100.0)
-#: The one it reaches in company, and the number of terms that are company.
-PAIR_CHI2, COMPANY = 10.0, 64
+#: The one it reaches in company.
+PAIR_CHI2 = 10.0
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
 
@@ -132,20 +132,25 @@ def chosen_terms(ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, size: int
         chi2 = np.where(usual, n * (k * (n - ones) - (m - k) * ones) ** 2 / (m * (n - m) * ones * (n - ones)), 0.0)
     alone = chi2 >= min(max(CHI2_SHARE * n, CHI2_BOUNDS[0]), CHI2_BOUNDS[1])
     toxic = np.flatnonzero(alone & (k * n > ones * m))
-    excess, variance, free = np.zeros(size), np.zeros(size), np.ones(len(y), bool)
-    for term in toxic[np.argsort(-chi2[toxic], kind="stable")][:COMPANY]:
-        inside = np.zeros(len(y), bool)
-        inside[rows[ids == term]] = True
-        inside &= free  # each document counts with the strongest of its terms alone
-        free &= ~inside
-        docs, share = float(inside.sum()), float(y[inside].mean()) if inside.any() else 0.0
+    excess, variance = np.zeros(size), np.zeros(size)
+    # Each document counts with the strongest of its terms alone, so all terms together read each document once.
+    strength = np.full(size, len(toxic), np.int32)
+    strength[toxic[np.argsort(-chi2[toxic], kind="stable")]] = np.arange(len(toxic))
+    strongest = np.full(len(y), len(toxic), np.int32)
+    np.minimum.at(strongest, rows, strength[ids])
+    of_row = np.argsort(strongest, kind="stable")
+    starts = np.cumsum(lengths) - lengths
+    for place, inside in enumerate(np.split(of_row, np.searchsorted(strongest[of_row], np.arange(1, len(toxic) + 1)))[: len(toxic)]):
+        docs, share = float(len(inside)), float(y[inside].mean()) if len(inside) else 0.0
         if not 0 < share < 1:
             continue
-        own = inside[rows]
-        seen = np.bincount(ids[own], minlength=size).astype(float)
-        seen[term] = 0
-        excess += np.where(seen > 0, np.bincount(ids[own], y[rows[own]], size) - seen * share, 0.0)
-        variance += seen * (docs - seen) / max(1.0, docs - 1) * share * (1 - share)
+        held = np.concatenate([ids[starts[i] : starts[i] + lengths[i]] for i in inside])
+        met, at = np.unique(held, return_inverse=True)
+        seen, ones_ = np.bincount(at).astype(float), np.bincount(at, np.repeat(y[inside], lengths[inside]))
+        other = strength[met] != place
+        met, seen, ones_ = met[other], seen[other], ones_[other]
+        excess[met] += ones_ - seen * share
+        variance[met] += seen * (docs - seen) / max(1.0, docs - 1) * share * (1 - share)
     paired = usual & (excess > 0) & (excess**2 >= PAIR_CHI2 * variance) & (variance > 0)
     return np.flatnonzero(alone | paired)
 

@@ -49,3 +49,18 @@ def test_a_repeated_labelled_document_is_learnt_from_once(spark):
     once = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), labels)
     many = toxicity.train(spark.createDataFrame([r[:2] for r in rows] + [rows[3][:2]] * 200, "doc_id long, text string"), labels)
     assert once.index == many.index and np.array_equal(once.machine.weight, many.machine.weight)
+
+
+def test_every_term_that_is_toxic_alone_is_company():
+    """The weakest of 100 such terms still shows what means something in its company only."""
+    sets, y = [], []
+    for term in range(100):
+        weakest = term == 99
+        for i in range(60 if weakest else 40):
+            sets.append([term, 200] if weakest and i % 2 else [term])
+            y.append(i % 2 if weakest else int(i % 4 > 0))
+    sets += [[200]] * 400 + [[]] * 40_000
+    y += [0] * (len(sets) - len(y))
+    lengths = np.array([len(s) for s in sets])
+    chosen = toxicity.chosen_terms(np.array([i for s in sets for i in s]), lengths, np.array(y, float), 256)
+    assert set(chosen.tolist()) >= {0, 98, 99, 200}

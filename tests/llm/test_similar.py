@@ -115,3 +115,25 @@ def test_odd_input(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 4, 6, 7]
     assert similar.one_of_each(df.limit(0)).count() == 0
     assert similar.one_of_each(df.where("doc_id is null")).count() == 1
+
+
+def test_shards_in_blocks_lose_no_link(spark, monkeypatch):
+    """Pairs in the company of many others, all in one shard of more than one block: each pair is linked, and nothing else is."""
+    monkeypatch.setattr(similar, "BLOCK", 50)
+    monkeypatch.setattr(similar, "tables", lambda n: [np.arange(8)])
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 64, (200, similar.LONGS), np.uint64) & ~np.uint64(255)
+    near = prints.copy()
+    near[:, 1] ^= np.uint64((1 << 30) - 1)
+    crowd = np.repeat(rng.integers(0, 1 << 64, (1, similar.LONGS), np.uint64) & ~np.uint64(255), 120, axis=0)
+    crowd[:, 2] ^= np.uint64(1) << np.arange(8, 128, dtype=np.uint64) % np.uint64(56)
+    crowd[:, 3] ^= np.arange(120, dtype=np.uint64)
+    rows = np.unique(np.concatenate((prints, near, crowd)), axis=0)
+    wanted = components_of(rows, similar.RADIUS)
+    assert sorted(map(len, wanted))[-2:] == [2, 120] and len(wanted) == 201
+    found = components.connected_components(similar.links(spark.createDataFrame([(bytearray(p.tobytes()),) for p in rows], "fp binary"))).collect()
+    root, place = {bytes(r.node): bytes(r.root) for r in found}, {p.tobytes(): i for i, p in enumerate(rows)}
+    groups = {}
+    for p, i in place.items():
+        groups.setdefault(root.get(p, p), set()).add(i)
+    assert set(map(frozenset, groups.values())) == wanted
