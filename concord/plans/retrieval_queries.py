@@ -10,6 +10,8 @@ from ..operators import retrieval
 from .common import spread, table
 
 SYSTEM = "Answer from the given sections only."
+#: Queries of which the terms are broadcast together.
+BATCH = 2500
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -33,9 +35,9 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, vectors = _vectors(spark, sf_dir)
     texts = spread(table(spark, sf_dir, "documents")).join(vectors, F.col("doc_id") == F.col("id")).select("id", "text", "e")
     asked = queries.join(texts, F.col("query_id") == F.col("id"))
-    dense = retrieval.dense_scores(retrieval.distances(asked.select("query_id", "q"), texts.select("id", "e")))
-    lexical = retrieval.bm25(asked.select("query_id", F.col("text").alias("query_text")), texts, "id", "text")
-    return retrieval.hybrid(dense, lexical, 5)
+    asked = asked.select("query_id", F.col("text").alias("query_text"), "q")
+    most = vectors.agg(F.max(F.size("e")).alias("width"), F.count_if(F.col("id") % 50 == 0).alias("n")).first()
+    return retrieval.hybrid(asked, texts, 5, max(most["width"] or 0, 0), max(1, -(-most["n"] // BATCH)))
 
 
 def r6_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
