@@ -45,7 +45,7 @@ def r6_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r8_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hybrid(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), "id")
+    hits = F.broadcast(_hybrid(spark, sf_dir)).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), "id")
     hits = hits.select("query_id", "rank", F.concat(F.lit("Section "), F.col("id").cast("string")).alias("label"), F.col("t").alias("text"))
     return retrieval.answer_context(hits).select("query_id", F.md5("context").alias("digest"), F.array_join("sources", ",").alias("sources"))
 

@@ -75,6 +75,17 @@ def test_few_pairs_are_shuffled(spark, tmp_path):
     assert rows and max(rows) < 40_000
 
 
+def test_context_of_few_pairs(spark, tmp_path):
+    rng = random.Random(6)
+    folder = write(tmp_path, 1000, lambda i: [rng.gauss(0, 1) for _ in range(8)], lambda i: words(rng, 12, 3000) + f" own{i}")
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = queries.QUERIES["r8_context"](spark, folder)
+    assert sorted(map(tuple, df.collect())) == sorted(c.sql(queries.ORACLE_SQL["r8_context"]).fetchall())
+    assert max(shuffled(df._jdf.queryExecution().executedPlan())) < 15_000
+
+
 def test_distances_are_the_same_sums(spark):
     rng = random.Random(1)
     rows = [(i, None if i == 3 else [None if i == 4 and k == 2 else rng.gauss(0, 1) for k in range(5 if i == 5 else 6)]) for i in range(9)]
