@@ -2,6 +2,7 @@
 
 import re
 
+from concord.operators import numeric
 from concord.plans import catalogue, common
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,27 @@ def test_numeric_claims_are_found_once(spark):
     assert df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_numeric_claims_search_two_word_patterns_once(spark):
+    df = catalogue.QUERIES["x5_x11_numeric_claims"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in (numeric.BIGRAM, numeric.ACRONYM_BIGRAM, "Annual cloud spending reached")] == [1, 1, 1]
+
+
+def test_numeric_anchors_and_claims_of_odd_texts(spark):
+    texts = [
+        None, "", "APAC\tspending and Cloud\n  costs of the Nordic-Retail markets reached 5.5 bn USD in 2023 (12,000,000 users).", "Glass markets, Cross-border fees and total spending cost the market shares $5 T overall worldwide.",
+        "business prices and classes pricess reached 40% of hiring costs, 30 p.p. or 1,000 thousand roles.",
+    ]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, id long, text string")
+    found = {r.id: r.a for r in df.where("length(text) > 0").select("id", numeric.anchors(df.text).alias("a")).collect()}
+    assert found == {
+        2: ["apac", "apac spending", "cloud", "cloud cost", "nordic-retail", "nordic-retail market", "usd"], 3: ["cross-border", "cross-border fee", "gla", "gla market", "total spending"],
+        4: ["busine", "busine price", "hiring cost", "thousand", "thousand role"],
+    }
+    rows = {(r.id, r.value, r.unit): (sorted(r.topics), sorted(r.scopes), r.years) for r in numeric.claims(df).collect()}
+    assert rows == {
+        (2, 5.5e9, "usd"): (["apac", "cloud"], [], [2023]), (2, 1.2e7, "count:user"): (["apac", "cloud"], [], [2023]), (3, 5e12, "usd"): ([], ["overall", "total", "worldwide"], []),
+        (4, 40.0, "percent"): ([], [], []), (4, 30.0, "percentage_points"): ([], [], []), (4, 1e6, "count:role"): ([], [], []),
+    }
